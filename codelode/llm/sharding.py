@@ -38,7 +38,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.1
         votes = seats.withColumn("best", best).withColumn("labels", F.count(F.lit(1)).over(of_group))
         votes = votes.where((F.col("labels") > 1) & (F.col("best")["n"] >= F.col("n")) & (-F.col("best")["neg"] != F.col("label")))
         # of two labels with as many, the smaller is the target, so that no two swap for ever
-        votes = votes.where((F.col("best")["n"] > F.col("n")) | (-F.col("best")["neg"] < F.col("label")))
+        votes = votes.where((F.col("best")["n"] > F.col("n")) | (-F.col("best")["neg"] < F.col("label")) | (room == 0))
         votes = votes.select(F.hex("g").alias("gx"), "label", (-F.col("best")["neg"]).alias("want"))
         # joined by another key than grouped by, so that a hot group can be split
         asked = here.withColumn("gx", F.hex("g")).join(votes, ["gx", "label"], "left").drop("gx")
