@@ -40,13 +40,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat:
     return found.withColumn("target", F.least("cap", F.coalesce(chosen * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "slope", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, bucket_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, bucket_bits: int = 12, keep_key: bool = False) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken and ``positions``, one training time per (part) copy.
 
-    The result is range-sorted by first position, documents that aren't taken last.
+    The result is range-sorted by first position, documents that aren't taken last; ``keep_key``
+    adds ``tkey``, the hash of the text, and leaves the rows unsorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sizes = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"))
+    sizes = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), F.xxhash64("text").alias("tkey"))
     sizes = materialize(sizes, "mix-sizes")
     targets = small(materialize(source_targets(sizes, weights, slopes, max_repeat).withColumn("sid", F.xxhash64("source", F.isnull("source"))), "mix-targets"))
     rows = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -65,5 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, bu
         return F.when(F.col("slope") == 0, u).otherwise((F.sqrt(b * b + 4 * F.col("slope") * u) - b) / (2 * F.col("slope")) + 0.0)
 
     times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), when)).otherwise(F.array().cast("array<double>"))
+    if keep_key:
+        return placed.select("doc_id", "tkey", "source", "size", "source_size", "target", "taken", times.alias("positions"))
     out = placed.select("doc_id", "source", "size", "source_size", "target", "taken", times.alias("positions"))
     return out.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import chat, decontam, langid, mixing, neardup, passages, secrets, sharding
+from codelode.llm import chat, decontam, langid, media, mixing, neardup, passages, secrets, sharding, warc
 from codelode.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, "^urn:page:(.*)$", 1).try_cast("long")
+    revisit = F.col("record_type") == "revisit"
+    return read.select(
+        number("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.col("payload_size")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        "record_type",
+        F.when(revisit, number("refers_to")).alias("refers_to"),
+    )
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,5 +75,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash, op3_chat_format, op4_suffix_passages, op6_mixing, op7_decontam, op8_secrets, op9_langid, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash, op3_chat_format, op4_suffix_passages, op5_media, op6_mixing, op7_decontam, op8_secrets, op9_langid, op10_sharding)}
 ORACLES: dict[str, str] = {}
