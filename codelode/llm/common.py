@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per application, as Spark's own file service carries it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root, data = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(str(f.relative_to(root.parent)), f.read_bytes())
+    folder = tempfile.mkdtemp(prefix="codelode-ship-")
+    path = os.path.join(folder, "codelode.zip")
+    Path(path).write_bytes(data.getvalue())
+    sc.addPyFile(path)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow, with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/codelode/{label}-{uuid.uuid4().hex}"
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import map_arrow
 from codelode.llm.grams import U64, char_runs, folded
 
 Q, RATE, PROBE, STRIDE, MIN_CHARS, SLACK = 8, 0.1, 160, 80, 24, 4
@@ -162,6 +163,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="t
     found = None
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        part = rows.mapInArrow(_search(own, rate), "doc_id long, item_id long, s long, e long, edits long")
+        part = map_arrow(rows, _search(own, rate), "doc_id long, item_id long, s long, e long, edits long")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count(F.lit(1)).alias("probes"), F.min("edits").alias("edits"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import map_arrow, ship
 from codelode.llm.grams import U64, char_runs, folded
 
 SIZES, SLOT_BITS, PROBES = (3, 4), 18, 3
@@ -110,7 +111,7 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: in
         return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
     rate = F.element_at(F.create_map(*(x for k, n in sizes for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
     chosen = rows.where(F.col("lang").isin([k for k, _ in sizes]) & (F.col("h") < rate * 2.0**32))
-    grams = chosen.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = map_arrow(chosen.select("lang", "text"), _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = grams.join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
     apart = freq.groupBy("gram").agg(F.sum("f").alias("all_f"), F.collect_list(F.struct("lang", "n", "f")).alias("by"))
@@ -142,5 +143,6 @@ def in_training(doc_id: str) -> Column:
 def identify(docs: DataFrame, train_on: DataFrame | None = None, **settings) -> DataFrame:
     """``docs`` with lang_pred and score, learnt from the training rows of ``train_on`` (``docs`` by default)."""
     source = docs if train_on is None else train_on
+    ship(docs.sparkSession)
     model = train(source.where(in_training("doc_id")), **settings)
     return docs.drop("lang_pred", "score").withColumn("_p", predictor(model)(F.col("text"))).select("*", "_p.*").drop("_p")

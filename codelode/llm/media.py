@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm import webp
-from codelode.llm.common import materialize
+from codelode.llm.common import map_arrow, materialize
 
 #: Bytes of media in a batch at most.
 BATCH = 8 << 20
@@ -76,9 +76,9 @@ def _read(batches):
 def store_texts(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """A written table (doc_id, n_bytes, media)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(map_arrow(rows, _store, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Decode each image and compute its features."""
-    return media.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, _read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -2,10 +2,11 @@
 
 Each text gives a set of word shingles, its 128 minima, band hashes of the whole minima and a
 packed signature of the lowest 4 bits of each. Equal sets collapse to one representative.
-Representatives that share a band become candidates, first against one pivot of the bucket;
+Representatives that share a band become candidates, first against two pivots of the bucket
+(one by hash, one that shares most buckets with others);
 a collision-corrected estimate from bit counts drops the hopeless ones and the rest are
 confirmed on full sets. Members of a bucket that are still in different components after that
-are then compared with each other, so that no candidate link between components is missed,
+are then compared with each other by longer signatures, so that no candidate link between components is missed,
 while a bucket whose members are all linked never costs more than one comparison each.
 
 Odd cases: texts without words have empty sets and link with nothing; a null doc_id is never
@@ -23,29 +24,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import materialize, small
+from codelode.llm.common import map_arrow, materialize, small
 from codelode.llm.components import components
 from codelode.llm.grams import U64, mix, shingle_set
 
 HASHES, ROWS, BITS = 128, 4, 4
 #: An estimate from 128 minima has a deviation of 0.038 at 0.75; five of them are allowed.
 MARGIN = 0.19
-_SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).astype(np.uint32)
-_A, _B = (_SEEDS[:HASHES] | np.uint32(1))[:, None], _SEEDS[HASHES:][:, None]
+#: Signatures for the second comparison: 1024 minima of 2 bits, a deviation of 0.0163; 4.5 of them are allowed.
+FINE_HASHES, FINE_BITS, FINE_MARGIN = 1024, 2, 0.0735
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def _functions(n: int, salt: int):
+    seeds = mix(np.arange(1 + salt, 2 * n + 1 + salt, dtype=U64) * U64(0x9E3779B97F4A7C15)).astype(np.uint32)
+    return (seeds[:n] | np.uint32(1))[:, None], seeds[n:][:, None]
+
+
+COARSE, FINE = _functions(HASHES, 0), _functions(FINE_HASHES, 1 << 20)
+
+
+def minima(shingles: np.ndarray, functions=COARSE) -> np.ndarray:
     """The least value of each of the hash functions over a non-empty set; blocks fit the cache."""
-    x = (shingles >> U64(32)).astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        least = np.minimum(least, (_A * x[None, at : at + 2048] + _B).min(axis=1))
+    x, (a, b) = (shingles >> U64(32)).astype(np.uint32), functions
+    least, block = np.full(len(a), 0xFFFFFFFF, np.uint32), 2048 * HASHES // len(a)
+    for at in range(0, len(x), block):
+        least = np.minimum(least, (a * x[None, at : at + block] + b).min(axis=1))
     return least
 
 
-def packed(least: np.ndarray) -> np.ndarray:
-    """BITS planes of HASHES bits, as 64-bit words."""
-    planes = (least[None, :] >> np.arange(BITS, dtype=np.uint32)[:, None]) & np.uint32(1)
+def packed(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """``bits`` planes of a bit for each minimum, as 64-bit words."""
+    planes = (least[None, :] >> np.arange(bits, dtype=np.uint32)[:, None]) & np.uint32(1)
     return np.packbits(planes.astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
 
 
@@ -105,50 +114,68 @@ def _confirmed(threshold: float):
     return confirm
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from two packed signatures: equal slots by bit counts, corrected for chance collisions of 2^-BITS."""
-    words = HASHES // 64
-    differ = " + ".join("bit_count(" + " | ".join(f"({a}[{p * words + w}] ^ {b}[{p * words + w}])" for p in range(BITS)) + ")" for w in range(words))
-    return F.expr(f"(({HASHES} - ({differ})) / {HASHES}D - {2.0**-BITS}D) / {1 - 2.0**-BITS}D")
+def _fine(batches):
+    for batch in batches:
+        sigs = [packed(minima(shingle_set(t.as_py()), FINE), FINE_BITS) for t in batch.column("text")]
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sigs)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *sigs]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), lists], ["id", "tkey", "sig"])
+
+
+def estimate(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
+    """Similarity from two packed signatures: equal slots by bit counts, corrected for chance collisions of 2^-bits."""
+    words = hashes // 64
+    differ = " + ".join("bit_count(" + " | ".join(f"({a}[{p * words + w}] ^ {b}[{p * words + w}])" for p in range(bits)) + ")" for w in range(words))
+    return F.expr(f"(({hashes} - ({differ})) / {hashes}D - {2.0**-bits}D) / {1 - 2.0**-bits}D")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: float = 0.75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
-    feats = materialize(rows.mapInArrow(_features, "doc_id long, tkey long, n long, digest binary, sig array<long>, bands array<long>"), "dup-features")
+    feats = materialize(map_arrow(rows, _features, "doc_id long, tkey long, n long, digest binary, sig array<long>, bands array<long>"), "dup-features")
     linkable = feats.where("n > 0 and doc_id is not null")
     reps = linkable.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey", "n", "sig", "bands")).alias("r"))
     reps = materialize(reps.select("digest", "r.*").withColumnRenamed("doc_id", "id"), "dup-reps")
 
     placed = reps.select("id", F.explode("bands").alias("band"))
     pivots = placed.groupBy(F.bitwise_not("band").alias("nb")).agg(F.count(F.lit(1)).alias("k"), F.min_by("id", F.xxhash64("id", "band")).alias("pivot")).where("k > 1")
-    members = materialize(placed.join(pivots.select(F.bitwise_not("nb").alias("band"), "pivot"), "band"), "dup-members")
+    members = materialize(placed.join(pivots.select(F.bitwise_not("nb").alias("band"), "pivot", "k"), "band"), "dup-members")
+    # a second pivot: the member that shares buckets with most others, as the original of a group of copies does
+    central = members.join(members.groupBy(F.bitwise_not("id").alias("ni")).agg(F.sum("k").alias("score")).select(F.bitwise_not("ni").alias("id"), "score"), "id")
+    hubs = central.groupBy(F.bitwise_not("band").alias("nb")).agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("hub"))
+    members = materialize(members.join(hubs.select(F.bitwise_not("nb").alias("band"), "hub"), "band"), "dup-members")
     nodes = reps.select("id", "tkey", "n", "sig")
     sized = F.expr(f"100 * least(na, nb) >= {round(threshold * 100)} * greatest(na, nb)")
     likely = estimate("sa", "sb") >= threshold - MARGIN
     side = lambda x: nodes.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
 
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """(doc_id, tkey, text) of the wanted keys, without a shuffle of all texts where the keys are few."""
+        wanted = small(materialize(keys.distinct(), "dup-wanted"), 400_000)
+        return rows.join(wanted, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs (a, b, ka, kb) whose full sets are similar enough."""
-        wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("tkey")).union(pairs.select("b", "kb")).distinct()
-        wanted = small(materialize(wanted, "dup-wanted"), 400_000)
-        texts = materialize(rows.join(wanted, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"]), "dup-texts")
-        full = pairs
+        wanted = pairs.select(F.col("a").alias("doc_id"), F.col("ka").alias("tkey")).union(pairs.select("b", "kb"))
+        texts, full = materialize(texts_of(wanted), "dup-texts"), pairs
         for x in "ab":
             full = full.join(texts.select(F.col("doc_id").alias(x), F.col("tkey").alias(f"k{x}"), F.col("text").alias(f"t{x}")), [x, f"k{x}"])
-        return materialize(full.select("a", "b", "ka", "kb", "ta", "tb").mapInArrow(_confirmed(threshold), "a long, b long"), "dup-links")
+        return materialize(map_arrow(full.select("a", "b", "ka", "kb", "ta", "tb"), _confirmed(threshold), "a long, b long"), "dup-links")
 
-    first = members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    against = members.select("id", F.explode(F.array_distinct(F.array("pivot", "hub"))).alias("pivot")).where("id <> pivot")
+    first = against.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     first = materialize(first.join(side("a"), "a").join(side("b"), "b").where(sized & likely).select("a", "b", "ka", "kb"), "dup-pairs")
     links = confirm(first)
     roots = components(links)
 
     in_comp = members.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
     mixed = in_comp.groupBy(F.bitwise_not("band").alias("nb")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rest = in_comp.join(mixed.select(F.bitwise_not("nb").alias("band")), "band")
-    rest = materialize(rest.join(nodes.select("id", "n", "sig"), "id"), "dup-rest")
+    rest = materialize(in_comp.join(mixed.select(F.bitwise_not("nb").alias("band")), "band"), "dup-rest")
+    keys = nodes.join(rest.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
+    fine = materialize(map_arrow(texts_of(keys), _fine, "id long, tkey long, sig array<long>"), "dup-fine")
+    rest = materialize(rest.join(nodes.select("id", "tkey", "n"), "id").join(fine, ["id", "tkey"]), "dup-rest")
     left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
     second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "dup-second")
     if second.limit(1).count():

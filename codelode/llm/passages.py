@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codelode.llm.common import materialize
+from codelode.llm.common import map_arrow, materialize
 from codelode.llm.grams import runs, words
 
 #: Words in a run; neighbours looked at on each side.
@@ -147,18 +147,18 @@ ORDER = ["right", "left", "doc_id", "at"]
 def repeated_passages(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = 50) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the merged stretches that a document shares with others."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    places = materialize(rows.mapInArrow(_places(min_words), "doc_id long, run long, at long"), "passage-places")
+    places = materialize(map_arrow(rows, _places(min_words), "doc_id long, run long, at long"), "passage-places")
     shared = places.groupBy(F.bitwise_not("run").alias("nr")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     kept = places.join(shared.select(F.bitwise_not("nr").alias("run")), "run", "left_semi")
     wanted = kept.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    context = rows.join(wanted, "doc_id").mapInArrow(_contexts(min_words), "doc_id long, at long, right binary, left binary")
+    context = map_arrow(rows.join(wanted, "doc_id"), _contexts(min_words), "doc_id long, at long, right binary, left binary")
     context = materialize(context, "passage-suffixes")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = context.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
-    found = materialize(ordered.mapInArrow(_compare(min_words, True), FOUND), "passage-matches")
+    found = materialize(map_arrow(ordered, _compare(min_words, True), FOUND), "passage-matches")
     # a few rows from the edges of each partition, compared in one task
     edges = found.where("edge").select(*ORDER).distinct().coalesce(1).sortWithinPartitions(*ORDER)
-    across = edges.mapInArrow(_compare(min_words, False), FOUND)
+    across = map_arrow(edges, _compare(min_words, False), FOUND)
     spans = found.where("not edge").select("doc_id", "s", "e").unionByName(across.select("doc_id", "s", "e"))
     by_start = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -39,7 +39,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from codelode.llm.common import fresh_path
+from codelode.llm.common import fresh_path, ship
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload_size long, payload_sha1 string, payload binary"
 #: Columns that come from one header each, for predicates.
@@ -330,6 +330,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
