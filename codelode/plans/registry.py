@@ -1,6 +1,7 @@
-"""All queries and their DuckDB equivalents, gathered from the query modules."""
+"""All queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from codelode.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
