@@ -172,11 +172,13 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: fl
     rest = materialize(in_comp.join(mixed.select(F.bitwise_not("nb").alias("band")), "band"), "dup-rest")
     keys = nodes.join(rest.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
     fine = materialize(map_arrow(texts_of(keys), _fine, "id long, tkey long, sig array<long>"), "dup-fine")
-    rest = materialize(rest.join(nodes.select("id", "tkey", "n"), "id").join(fine, ["id", "tkey"]), "dup-rest")
-    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    rest = materialize(rest.join(reps.select("id", "tkey", "n", "bands"), "id").join(fine, ["id", "tkey"]), "dup-rest")
+    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
+    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
     likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
-    second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a pair that shares several bands is made in the first of them only
+    once = F.expr("element_at(filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band")
+    second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "dup-second")
     if second.limit(1).count():
         keys = lambda x: nodes.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"))
