@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codelode.llm.common import map_arrow
 from codelode.llm.grams import U64, char_runs, folded
 
-Q, RATE, PROBE, STRIDE, MIN_CHARS, SLACK = 8, 0.1, 160, 80, 24, 4
+Q, RATE, PROBE, STRIDE, MIN_CHARS, SLACK = 10, 0.1, 160, 80, 24, 4
 FILTER_BITS = 22
 
 
@@ -99,17 +99,18 @@ def align(probe: np.ndarray, text: np.ndarray, low: int, width: int, budget: int
     """(edits, start, end) of the best alignment of the whole probe inside the band of diagonals low .. low + width, or None."""
 
     def ends(p, t, low, width):
-        # cost[b]: of p so far, ending at diagonal low + b; beyond the text is out of reach
-        span = np.arange(width + 1)
-        cost = np.zeros(width + 1, np.int64)
-        out = 1 << 20
+        # cost[b]: of p so far, ending at diagonal low + b; beyond the text nothing is equal
+        span = np.arange(width + 1, dtype=np.int32)
+        cost, out = np.zeros(width + 1, np.int32), np.int32(1 << 20)
+        before, last = max(0, -low), low + width + len(p)
+        near = t[max(0, low) : max(0, last)]
+        near = np.concatenate((np.zeros(before, np.uint32), near, np.zeros(max(0, last - max(0, low) - len(near)), np.uint32)))
         for j, c in enumerate(p.tolist()):
-            where = low + j + span
-            inside = (where >= 0) & (where < len(t))
-            cross = np.where(inside, cost + (t[np.clip(where, 0, len(t) - 1)] != c), out)
-            skip = np.append(cost[1:], out) + 1
-            step = np.minimum(cross, skip)
-            cost = np.minimum(np.minimum.accumulate(step - span) + span, out)
+            step = cost + (near[j : j + width + 1] != c)
+            np.minimum(step[:-1], cost[1:] + 1, out=step[:-1])
+            cost = np.minimum.accumulate(step - span) + span
+            if j % 8 == 7 and cost.min() > budget:
+                return np.full(width + 1, out)
         return cost
 
     forth = ends(probe, text, low, width)
