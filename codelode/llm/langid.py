@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.shipping import ship
-from codelode.llm.common import map_arrow
+from codelode.llm.common import map_arrow, materialize
 from codelode.llm.grams import U64, char_runs, folded
 
 SIZES, SLOT_BITS, PROBES = (3, 4), 18, 3
@@ -113,6 +113,7 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: in
     rate = F.element_at(F.create_map(*(x for k, n in sizes for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
     chosen = rows.where(F.col("lang").isin([k for k, _ in sizes]) & (F.col("h") < rate * 2.0**32))
     grams = map_arrow(chosen.select("lang", "text"), _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams, "langid-grams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = grams.join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
     apart = freq.groupBy("gram").agg(F.sum("f").alias("all_f"), F.collect_list(F.struct("lang", "n", "f")).alias("by"))
