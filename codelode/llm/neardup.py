@@ -31,8 +31,8 @@ from codelode.llm.grams import U64, mix, shingle_set
 HASHES, ROWS, BITS = 128, 4, 4
 #: An estimate from 128 minima has a deviation of 0.038 at 0.75; five of them are allowed.
 MARGIN = 0.19
-#: Signatures for the second comparison: 1024 minima of 2 bits, a deviation of 0.0163; 4.5 of them are allowed.
-FINE_HASHES, FINE_BITS, FINE_MARGIN = 1024, 2, 0.0735
+#: Signatures for the second comparison: 2048 minima of 2 bits, a deviation of 0.0115; 4.5 of them are allowed.
+FINE_HASHES, FINE_BITS, FINE_MARGIN = 2048, 2, 0.052
 
 
 def _functions(n: int, salt: int):
@@ -173,16 +173,17 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: fl
     keys = nodes.join(rest.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
     fine = materialize(map_arrow(texts_of(keys), _fine, "id long, tkey long, sig array<long>"), "dup-fine")
     rest = materialize(rest.join(reps.select("id", "tkey", "n", "bands"), "id").join(fine, ["id", "tkey"]), "dup-rest")
-    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
+    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"), F.col("tkey").alias("ka"))
+    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"), F.col("tkey").alias("kb"))
     likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
     # a pair that shares several bands is made in the first of them only
     once = F.expr("element_at(filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band")
-    second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "dup-second")
+    second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely & once)
+    swap = F.col("a") > F.col("b")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ka", "kb"), ("kb", "ka"))]
+    second = materialize(second.select(*ends).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "dup-second")
     if second.limit(1).count():
-        keys = lambda x: nodes.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"))
-        roots = components(links.unionByName(confirm(second.join(keys("a"), "a").join(keys("b"), "b").select("a", "b", "ka", "kb"))))
+        roots = components(links.unionByName(confirm(second)))
 
     classes = reps.join(roots, "id", "left").select(F.hex("digest").alias("dx"), F.coalesce("root", "id").alias("root"))
     out = feats.select("doc_id", "n", F.when(F.col("n") > 0, F.hex("digest")).alias("dx")).join(classes, "dx", "left")
