@@ -33,13 +33,13 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.1
         room = F.element_at(F.array(*(F.lit(max(0, cap - load[s])) for s in range(shards))), F.col("label") + 1)
         seats = here.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
         of_group = Window.partitionBy("g")
-        open_seats = F.when(room > 0, F.struct("n", (-F.col("label")).alias("neg")))
-        best = F.max(open_seats).over(of_group)
+        # among labels with as many seats a hash of group and label decides, so that groups spread and no two members swap
+        seats = seats.withColumn("turn", F.xxhash64("g", "label"))
+        best = F.max(F.when(room > 0, F.struct("n", "turn", "label"))).over(of_group)
         votes = seats.withColumn("best", best).withColumn("labels", F.count(F.lit(1)).over(of_group))
-        votes = votes.where((F.col("labels") > 1) & (F.col("best")["n"] >= F.col("n")) & (-F.col("best")["neg"] != F.col("label")))
-        # of two labels with as many, the smaller is the target, so that no two swap for ever
-        votes = votes.where((F.col("best")["n"] > F.col("n")) | (-F.col("best")["neg"] < F.col("label")) | (room == 0))
-        votes = votes.select(F.hex("g").alias("gx"), "label", (-F.col("best")["neg"]).alias("want"))
+        gain = (F.col("best")["n"] > F.col("n")) | ((F.col("best")["n"] == F.col("n")) & ((F.col("best")["turn"] > F.col("turn")) | (room == 0)))
+        votes = votes.where((F.col("labels") > 1) & gain & (F.col("best")["label"] != F.col("label")))
+        votes = votes.select(F.hex("g").alias("gx"), "label", F.col("best")["label"].alias("want"))
         # joined by another key than grouped by, so that a hot group can be split
         asked = here.withColumn("gx", F.hex("g")).join(votes, ["gx", "label"], "left").drop("gx")
         asked = materialize(asked, "shard-asked")

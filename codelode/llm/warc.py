@@ -219,7 +219,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         store, root = open_store(self.path)
         info = store.get_file_info([root])[0]
-        found = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
+        found = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and not x.base_name.startswith((".", "_"))]
 
     def _wanted(self, head: dict) -> bool:
@@ -230,6 +230,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # Spark makes one partition of none
+            return
         store, _ = open_store(self.path)
         rows, held = [], 0
         with store.open_input_file(partition.path) as f:
