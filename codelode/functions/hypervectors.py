@@ -106,17 +106,19 @@ def bundle(vectors: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 
     def partial(batches):
         sums: dict = {}
+        kind = None
         for batch in batches:
+            kind = batch.schema.field("k").type
             m = np.array(batch.column("v").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, WORDS)
             bits = np.unpackbits(m.view(np.uint8), axis=1, bitorder="little")
             for k, own in _groups(batch.column("k").to_pylist()).items():
                 n, at = sums.get(k, (0, np.zeros(WORDS * 64, np.int64)))
-                sums[k] = (n + len(own), at + bits[own].sum(axis=0))
+                sums[k] = (n + len(own), at + bits[own].sum(axis=0, dtype=np.int64))
                 if len(sums) >= 256:
-                    yield _sums(sums)
+                    yield _sums(sums, kind)
                     sums = {}
         if sums:
-            yield _sums(sums)
+            yield _sums(sums, kind)
 
     ship(vectors.sparkSession)
     typed = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"))
@@ -152,5 +154,5 @@ def _groups(keys: list) -> dict:
     return found
 
 
-def _sums(sums: dict):
-    return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tobytes() for _, t in sums.values()], pa.binary())], ["k", "n", "sums"])
+def _sums(sums: dict, kind: pa.DataType):
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tobytes() for _, t in sums.values()], pa.binary())], ["k", "n", "sums"])
