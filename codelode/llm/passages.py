@@ -7,6 +7,9 @@ compared with its neighbours from other documents: the match is extended right a
 counts from ``min_words`` words on. A long passage is covered by the matches around each of its
 minimisers. The sort is a range partitioning by the whole content, so that a run that very many
 documents have is spread over tasks; the edges of each partition are compared in a last step.
+Where suffixes beyond the neighbours looked at have the run too, the stretches of ``min_words``
+words around the place that they could share are counted over the corpus by hash, so that the
+number of neighbours is no cap.
 
 Odd cases: null, empty and short texts have no passage; a repeat inside one document only isn't
 one; rows that share a doc_id are one document; a null doc_id is left out; an empty table gives
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.llm.common import map_arrow, materialize
-from codelode.llm.grams import runs, words
+from codelode.llm.grams import U64, mix, runs, words
 
 #: Words in a run; neighbours looked at on each side.
 K, HOPS = 16, 8
-FOUND = "doc_id long, s long, e long, edge boolean, run binary, right binary, left binary, at long"
+FOUND = "doc_id long, s long, e long, edge boolean, window long, lo long, hi long, right binary, left binary, at long"
 
 
 def minimisers(w: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +92,42 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
 
 
+def _windows(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of as many words as ``right`` has that holds the run, by the words it takes from the left; 0 beyond an end of the text."""
+    size, n = right.shape[1], left.shape[1] + 1
+    whole = np.concatenate((left[:, ::-1], right), axis=1).astype(U64)
+    total = np.zeros((len(whole), n), U64)
+    for j, m in enumerate(mix(np.arange(1, size + 1, dtype=U64)) | U64(1)):
+        total += whole[:, j : j + n] * m
+    inside = (whole[:, :n] != 0) & (whole[:, size - 1 :] != 0)
+    return np.where(inside, mix(total) | U64(1), U64(0))[:, ::-1]
+
+
 def _compare(min_words: int, edges: bool):
-    """Over sorted suffixes: (s, e) of what each shares with its neighbours, and the rows at either edge of the partition."""
+    """Over sorted suffixes: (s, e) of what each shares with its neighbours.
+
+    With ``edges`` also the rows at either edge of the partition, and the stretches of each suffix
+    that one further off than HOPS could share: whose they are, and which are still in question.
+    """
+
+    def rest(doc, at, right, left, reach, most_r, most_l):
+        h = _windows(right, left)
+        taken = np.arange(h.shape[1])
+        open_ = (h != 0) & (min_words - taken <= reach[:, None])
+        row, o = np.nonzero(open_)
+        key = h[row, o]
+        order = np.lexsort((doc[row], key))
+        if len(order):
+            ks, ds = key[order], doc[row][order]
+            start = np.flatnonzero(np.concatenate(([True], ks[1:] != ks[:-1])))
+            end = np.append(start[1:], len(ks)) - 1
+            yield _batch(window=ks[start].view(np.int64), lo=ds[start], hi=ds[end])
+        ask = ~((o <= most_l[row]) & (min_words - o <= most_r[row]))
+        row, o = row[ask], o[ask]
+        yield _batch(doc_id=doc[row], s=at[row] - o, window=h[row, o].view(np.int64))
 
     def compare(batches):
         tail = None
-        last = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -102,7 +135,9 @@ def _compare(min_words: int, edges: bool):
             rb, lb = batch.column("right").to_pylist(), batch.column("left").to_pylist()
             if edges and tail is None:
                 yield _edge_rows(doc[:HOPS], at[:HOPS], rb[:HOPS], lb[:HOPS])
+            seen = 0
             if tail is not None:
+                seen = len(tail[0])
                 doc, at, rb, lb = np.concatenate((tail[0], doc)), np.concatenate((tail[1], at)), tail[2] + rb, tail[3] + lb
             # places of one document in equal surroundings stand side by side and count as one
             new = np.array([True, *(doc[i] != doc[i - 1] or rb[i] != rb[i - 1] or lb[i] != lb[i - 1] for i in range(1, len(doc)))])
@@ -118,29 +153,43 @@ def _compare(min_words: int, edges: bool):
                     np.maximum.at(most_l, side, l[good])
             r, l = most_r[of], most_l[of]
             hit = np.flatnonzero(r > 0)
-            yield _rows(doc[hit], at[hit] - l[hit], at[hit] + r[hit])
-            keep = first[-HOPS:]
+            yield _batch(doc_id=doc[hit], s=at[hit] - l[hit], e=at[hit] + r[hit])
+            if edges:
+                # no suffix beyond the last neighbour on a side shares more than it does; beyond the partition any may
+                reach = np.full(len(first), min_words)
+                if len(first) > 2 * HOPS:
+                    far = _common(right[:-HOPS], right[HOPS:])
+                    reach[HOPS:-HOPS] = np.maximum(far[HOPS:], far[:-HOPS])
+                waits = of >= len(first) - HOPS
+                now = np.flatnonzero(np.where(waits, ~new, of >= max(0, seen - HOPS)))
+                now = now[np.where(waits[now], min_words, reach[of[now]]) >= K]
+                for k in range(0, len(now), 4096):
+                    x = now[k : k + 4096]
+                    g = of[x]
+                    yield from rest(doc[x], at[x], right[g], left[g], np.where(waits[x], min_words, reach[g]), most_r[g], most_l[g])
+            keep = first[-2 * HOPS :]
             tail = (doc[keep], at[keep], [rb[i] for i in keep], [lb[i] for i in keep])
-            last = tail
-        if edges and last:
-            yield _edge_rows(*last)
+        if edges and tail is not None:
+            doc, at, rb, lb = (x[-HOPS:] for x in tail)
+            yield _edge_rows(doc, at, rb, lb)
+            none = np.zeros(len(doc), np.int64)
+            yield from rest(doc, at, _matrix(rb, min_words), _matrix(lb, min_words - K), none + min_words, none, none)
 
     return compare
 
 
-def _rows(doc, s, e):
-    n = len(doc)
-    empty = pa.nulls(n, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s), pa.array(e), pa.array([False] * n, pa.bool_()), empty, empty, empty, pa.nulls(n, pa.int64())], FOUND_NAMES)
+def _batch(edge: bool = False, **columns):
+    """A batch of FOUND; columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    made = [pa.array([edge] * n, pa.bool_()) if f.name == "edge" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND_ARROW]
+    return pa.RecordBatch.from_arrays(made, schema=FOUND_ARROW)
 
 
 def _edge_rows(doc, at, right, left):
-    n = len(doc)
-    none = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc), none, none, pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(at)], FOUND_NAMES)
+    return _batch(True, doc_id=doc, at=at, right=right, left=left)
 
 
-FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+FOUND_ARROW = pa.schema([(name, {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]) for name, kind in (x.split() for x in FOUND.split(", "))])
 ORDER = ["right", "left", "doc_id", "at"]
 
 
@@ -159,7 +208,11 @@ def repeated_passages(docs: DataFrame, doc_id="doc_id", text="text", min_words:
     # a few rows from the edges of each partition, compared in one task
     edges = found.where("edge").select(*ORDER).distinct().coalesce(1).sortWithinPartitions(*ORDER)
     across = map_arrow(edges, _compare(min_words, False), FOUND)
-    spans = found.where("not edge").select("doc_id", "s", "e").unionByName(across.select("doc_id", "s", "e"))
+    # exactly, what lies further off than the neighbours looked at: equal stretches of min_words words of several documents
+    owners = found.where("lo is not null").groupBy(F.bitwise_not("window").alias("nw")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    asked = found.where("window is not null and lo is null").select("doc_id", "s", "window")
+    further = asked.join(owners.select(F.bitwise_not("nw").alias("window")), "window").select("doc_id", "s", (F.col("s") + min_words).alias("e"))
+    spans = found.where("e is not null").select("doc_id", "s", "e").unionByName(across.select("doc_id", "s", "e")).unionByName(further)
     by_start = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(by_start.rowsBetween(Window.unboundedPreceding, 0))

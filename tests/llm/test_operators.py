@@ -123,6 +123,35 @@ def test_passages(spark, docs):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_passages_around_a_hot_run(spark, batch):
+    """Pairs that share 30 words left of a phrase that hundreds of documents have, and so are far apart in the order."""
+    word, phrase = itertools.count(), " ".join(f"p{i}" for i in range(20))
+    fresh = lambda n: " ".join(f"u{next(word)}" for _ in range(n))
+    texts = [f"{fresh(40)} {phrase} {fresh(60)}" for _ in range(200)]
+    for _ in range(12):
+        own = fresh(30)
+        texts += [f"{fresh(40)} {own} {phrase} {fresh(60)}" for _ in range(2)]
+    texts += [f"{fresh(3)} {phrase} {fresh(50)} " * 3, phrase, " ".join([phrase] * 30)]
+    at, want = {}, {}
+    for i, w in enumerate(map(words, texts)):
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    for i, w in enumerate(map(words, texts)):
+        if own := {x for k in range(len(w) - 49) if len(at[tuple(w[k : k + 50])]) > 1 for x in range(k, k + 50)}:
+            want[i] = own
+    assert len(want) == 24
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {}
+        for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+            got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == want
+
+
 def test_passage_inside_other_text(spark):
     shared = " ".join(f"s{i}" for i in range(70))
     texts = [" ".join(f"{c}{i}" for i in range(90)) + " " + shared + " " + " ".join(f"{c}y{i}" for i in range(40)) for c in "abcde"] + [" ".join(f"z{i}" for i in range(300))]
