@@ -125,12 +125,12 @@ def test_passages(spark, docs):
 
 @pytest.mark.parametrize("batch", [7, 10_000])
 def test_passages_around_a_hot_run(spark, batch):
-    """Pairs that share 30 words left of a phrase that hundreds of documents have, and so are far apart in the order."""
-    word, phrase = itertools.count(), " ".join(f"p{i}" for i in range(20))
+    """Pairs that share 10 words left of a phrase that hundreds of documents have, and so are far apart in the order."""
+    word, phrase = itertools.count(), " ".join(f"p{i}" for i in range(40))
     fresh = lambda n: " ".join(f"u{next(word)}" for _ in range(n))
     texts = [f"{fresh(40)} {phrase} {fresh(60)}" for _ in range(200)]
     for _ in range(12):
-        own = fresh(30)
+        own = fresh(10)
         texts += [f"{fresh(40)} {own} {phrase} {fresh(60)}" for _ in range(2)]
     texts += [f"{fresh(3)} {phrase} {fresh(50)} " * 3, phrase, " ".join([phrase] * 30)]
     at, want = {}, {}
