@@ -47,11 +47,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, bu
     adds ``tkey``, the hash of the text, and leaves the rows unsorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sizes = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), F.xxhash64("text").alias("tkey"))
+    # 60 bits of a hash that every engine has
+    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))), 1, 15), 16, 10).cast("long")
+    sizes = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), h.alias("h"), F.xxhash64("text").alias("tkey"))
     sizes = materialize(sizes, "mix-sizes")
     targets = small(materialize(source_targets(sizes, weights, slopes, max_repeat).withColumn("sid", F.xxhash64("source", F.isnull("source"))), "mix-targets"))
     rows = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", nonneg_bits(F.col("h"), 64 - bucket_bits, bucket_bits))
+    rows = rows.withColumn("bucket", nonneg_bits(F.col("h"), 60 - bucket_bits, bucket_bits))
     placed = prefix_sums(rows, ["sid"], ["bucket"], ["h", "doc_id", "size"], F.col("size"), "offset")
     demand = F.round("target").cast("long")
     placed = placed.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0).cast("long"))
