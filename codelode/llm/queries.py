@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm import chat, decontam, langid, media, mixing, neardup, passages, secrets, sharding, warc
 from codelode.llm.common import table
+from codelode.llm.oracles import ORACLES
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    times = F.array_join(F.transform("positions", lambda p: F.floor(p * 1_000_000_000).cast("string")), ",")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", times.alias("positions_e9"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +78,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_minhash, op3_chat_format, op4_suffix_passages, op5_media, op6_mixing, op7_decontam, op8_secrets, op9_langid, op10_sharding)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
