@@ -69,5 +69,20 @@ def prefix_sums(rows: DataFrame, part: list[str], buckets: list[str], order: lis
     return within.join(tops, keys).withColumn(name, F.col("_top") + F.col("_in")).drop("_v", "_in", "_top")
 
 
+def in_chunks(items: str, length: str, step: str, spans: str, chunk: int = 256) -> str:
+    """SQL of the array that ``step`` gathers over ``items`` from (at, spans), ``at`` being the lengths so far.
+
+    An array that grows by an element at a time is copied as often as it grows, so each chunk
+    gathers its own from the sum of the lengths before it.
+    """
+    return (
+        f"element_at(transform(array({items}), z -> flatten(zip_with("
+        f"aggregate(sequence(0, greatest(size(z) - 1, 0) div {chunk}), named_struct('at', 0L, 'all', cast(array() as array<bigint>)), (a, c) -> named_struct("
+        f"'at', a.at + aggregate(slice(z, cast(c * {chunk} + 1 as int), {chunk}), 0L, (s, x) -> s + {length}), 'all', concat(a.all, array(a.at))), a -> a.all),"
+        f" sequence(0, greatest(size(z) - 1, 0) div {chunk}),"
+        f" (at, c) -> aggregate(slice(z, cast(c * {chunk} + 1 as int), {chunk}), named_struct('at', at, 'spans', cast(array() as {spans})), {step}, a -> a.spans)))), 1)"
+    )
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import materialize
+from codelode.llm.common import in_chunks, materialize
 
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,13 +37,13 @@ def spans_of(kind: str) -> Column:
     """All spans of one kind in column ``t``, as code points: gaps and matches, laid end to end."""
     test, pattern, group, least = PATTERNS[kind]
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    walk = F.expr(
-        f"aggregate(arrays_zip(split(t, '{quoted}', -1), regexp_extract_all(t, '{quoted}', 0), regexp_extract_all(t, '{quoted}', {group})),"
-        f" named_struct('at', 0L, 'spans', cast(array() as {SPAN})),"
-        " (a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'spans',"
+    items = f"arrays_zip(split(t, '{quoted}', -1), regexp_extract_all(t, '{quoted}', 0), regexp_extract_all(t, '{quoted}', {group}))"
+    step = (
+        "(a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'spans',"
         f" if(length(x.`2`) >= {least}, concat(a.spans, array(named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`),"
-        f" 'kind', {KINDS.index(kind)}, 'value', md5(x.`2`)))), a.spans)), a -> a.spans)"
+        f" 'kind', {KINDS.index(kind)}, 'value', md5(x.`2`)))), a.spans))"
     )
+    walk = F.expr(in_chunks(items, "coalesce(length(x.`0`), 0) + coalesce(length(x.`1`), 0)", step, SPAN))
     return F.when(F.col("t").rlike(test), walk).otherwise(F.array().cast(SPAN))
 
 
