@@ -14,10 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import in_chunks
+
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: (control string, escape); the first escapes the escape sign itself.
 ESCAPES = (("~", "~0"), ("<|", "~1"), ("[INST]", "~2"), ("[/INST]", "~3"), ("<s>", "~4"), ("</s>", "~5"))
 
+#: Code points in a block of ``parse_chats``.
+CUT = 4096
+
 
 def escape(text: Column) -> Column:
     """Replace control strings; ``unescape`` gives the text back."""
@@ -60,12 +65,12 @@ def format_chats(rows: DataFrame, conv="conv_id", turn="turn", role="role", text
         f"'head', if(i = 0, concat('{TURN}', b.role, '{TEXT}'), '{NEXT}'), 'text', x,"
         f" 'tail', if(i = size(b.texts) - 1, '{END}', ''), 'loss', b.loss))))"
     )
-    spans = F.expr(
-        "aggregate(pieces, named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,end:bigint>>)),"
-        " (a, p) -> named_struct('at', a.at + length(p.head) + length(p.text) + length(p.tail), 'spans',"
+    step = (
+        "(a, p) -> named_struct('at', a.at + length(p.head) + length(p.text) + length(p.tail), 'spans',"
         " if(p.loss, concat(a.spans, array(named_struct('start', a.at + length(p.head),"
-        " 'end', a.at + length(p.head) + length(p.text)))), a.spans)), a -> a.spans)"
+        " 'end', a.at + length(p.head) + length(p.text)))), a.spans))"
     )
+    spans = F.expr(in_chunks("pieces", "length(x.head) + length(x.text) + length(x.tail)", step, "array<struct<start:bigint,end:bigint>>"))
     return blocked.withColumn("pieces", pieces).select(
         "conv_id",
         F.expr("array_join(transform(pieces, p -> concat(p.head, p.text, p.tail)), '')").alias("formatted"),
@@ -82,5 +87,11 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
         f" x -> named_struct('role', substr(b, 1, instr(b, '{TEXT}') - 1), 'text', x))))"
     )
     plain = F.transform("raw_turns", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
-    learnt = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
+    # spans are cut from blocks of code points, as each cut from the whole would walk through all before it
+    masked = F.expr(
+        f"element_at(transform(array(regexp_extract_all(formatted, '(?s).{{1,{CUT}}}', 0)), z -> transform(loss_spans, s ->"
+        f" substring(array_join(slice(z, cast(s.start div {CUT} + 1 as int), cast(s.end div {CUT} - s.start div {CUT} + 1 as int)), ''),"
+        f" cast(s.start % {CUT} + 1 as int), cast(s.end - s.start as int)))), 1)"
+    )
+    learnt = F.transform(masked, unescape)
     return formatted.withColumn("blocks", blocks).withColumn("raw_turns", turns).select("conv_id", "formatted", plain.alias("turns"), learnt.alias("loss_texts"))
