@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark items are folded (lower case, all but letters and digits as single spaces) and cut
-into overlapping probes. A stretch of a document within k edits of a probe of m characters
+into overlapping probes at two scales: long ones, for items that are edited unevenly, and short
+ones, of which any contiguous excerpt of 83 characters (56 + 28 - 1) holds one whole. A stretch of a document within k edits of a probe of m characters
 shares at least m + 1 - q (k + 1) of its q-grams, in a diagonal band as wide as k. So shared
 q-grams are counted in overlapping bands, regions that meet the bound are kept, and a banded
 alignment confirms them.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from codelode.llm.common import map_arrow
 from codelode.llm.grams import U64, char_runs, folded
 
-Q, RATE, PROBE, STRIDE, MIN_CHARS, SLACK = 10, 0.1, 160, 80, 24, 4
+Q, RATE, PROBE, STRIDE, MIN_CHARS, SLACK = 8, 0.1, 160, 80, 24, 4
+LONG, SHORT = (PROBE, STRIDE), (56, 28)
 FILTER_BITS = 22
 
 
@@ -45,7 +47,8 @@ class Probes:
     maybe: np.ndarray  # bit filter over the top bits of a hash
 
 
-def probes(items: list[tuple[int, str]], rate: float = RATE) -> Probes:
+def probes(items: list[tuple[int, str]], rate: float = RATE, scales=(LONG,)) -> Probes:
+    """Probes of each (length, stride) of ``scales``; an item of at most that length is a probe of its own."""
     ids, chars = [], []
     for item, text in items:
         c, _ = folded(text, digits=True)
@@ -53,10 +56,13 @@ def probes(items: list[tuple[int, str]], rate: float = RATE) -> Probes:
         c = c[:-1] if len(c) and c[-1] == 32 else c
         if len(c) < MIN_CHARS:
             continue
-        cuts = [0] if len(c) <= PROBE else sorted({*range(0, len(c) - PROBE, STRIDE), len(c) - PROBE})
-        for at in cuts:
+        cuts = {}
+        for size, stride in scales:
+            starts = [0] if len(c) <= size else sorted({*range(0, len(c) - size, stride), len(c) - size})
+            cuts |= dict.fromkeys((at, min(len(c), at + size)) for at in starts)
+        for at, end in cuts:
             ids.append(item)
-            chars.append(c[at : at + PROBE])
+            chars.append(c[at:end])
     sizes = np.array([len(c) for c in chars], np.int64)
     budget = np.maximum(0, np.minimum((rate * sizes).astype(np.int64), (sizes + 1 - Q - SLACK) // Q))
     need = sizes + 1 - Q * (budget + 1)
@@ -95,61 +101,108 @@ def regions(p: Probes, chars: np.ndarray):
     return list(zip(which[good].tolist(), (band * width - PROBE)[good].tolist(), (2 * width)[good].tolist(), strict=True))
 
 
-def align(probe: np.ndarray, text: np.ndarray, low: int, width: int, budget: int):
-    """(edits, start, end) of the best alignment of the whole probe inside the band of diagonals low .. low + width, or None."""
-
-    def ends(p, t, low, width):
-        # cost[b]: of p so far, ending at diagonal low + b; beyond the text nothing is equal
-        span = np.arange(width + 1, dtype=np.int32)
-        cost, out = np.zeros(width + 1, np.int32), np.int32(1 << 20)
-        before, last = max(0, -low), low + width + len(p)
-        near = t[max(0, low) : max(0, last)]
-        near = np.concatenate((np.zeros(before, np.uint32), near, np.zeros(max(0, last - max(0, low) - len(near)), np.uint32)))
-        for j, c in enumerate(p.tolist()):
-            step = cost + (near[j : j + width + 1] != c)
-            np.minimum(step[:-1], cost[1:] + 1, out=step[:-1])
-            cost = np.minimum.accumulate(step - span) + span
-            if j % 8 == 7 and cost.min() > budget:
-                return np.full(width + 1, out)
-        return cost
-
-    forth = ends(probe, text, low, width)
-    b = int(forth.argmin())
-    if forth[b] > budget:
-        return None
-    end = min(len(text), low + b + len(probe))
-    # the same from behind gives the start
-    back = ends(probe[::-1], text[:end][::-1], -budget, 2 * budget)
-    start = end - (len(probe) + int(back.argmin()) - budget)
-    return int(forth[b]), max(0, start), end
+def window(text: np.ndarray, low: int, size: int) -> np.ndarray:
+    """``size`` characters from place ``low`` on, zeros outside the text."""
+    out = np.zeros(size, np.uint32)
+    part = text[max(0, low) : max(0, low + size)]
+    out[max(0, -low) : max(0, -low) + len(part)] = part
+    return out
+
+
+def ends(own: np.ndarray, near: np.ndarray, budget: int) -> np.ndarray:
+    """Per row: edits of the whole probe ``own``, by the diagonal of ``near`` it ends at; beyond all budgets where none is left."""
+    n, m = own.shape
+    width = near.shape[1] - m
+    span, live = np.arange(width + 1, dtype=np.int32), np.arange(n)
+    cost, out = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), 1 << 20, np.int32)
+    for j in range(m):
+        # cost[b]: of the probe so far, ending at diagonal b; beyond the text nothing is equal
+        step = cost + (near[:, j : j + width + 1] != own[:, j : j + 1])
+        np.minimum(step[:, :-1], cost[:, 1:] + 1, out=step[:, :-1])
+        cost = np.minimum.accumulate(step - span, axis=1) + span
+        if j % 4 == 3:
+            good = cost.min(axis=1) <= budget
+            if not good.all():
+                live, cost, own, near = live[good], cost[good], own[good], near[good]
+            if not len(live):
+                break
+    out[live] = cost
+    return out
+
+
+def align(p: Probes, wanted: list[tuple[np.ndarray, int, int, int]], block: int = 1024) -> list[tuple[int, int, int] | None]:
+    """(edits, start, end) of the best alignment of each whole probe in (text, probe, least diagonal, width), or None; probes of a size at once."""
+    out: list = [None] * len(wanted)
+    sizes: dict[int, list[int]] = {}
+    for i, (_, which, _, _) in enumerate(wanted):
+        sizes.setdefault(len(p.chars[which]), []).append(i)
+    for m, mine in sizes.items():
+        budget = int(p.budget[wanted[mine[0]][1]])
+        for at in range(0, len(mine), block):
+            part = mine[at : at + block]
+            own = np.stack([p.chars[wanted[i][1]] for i in part])
+            forth = ends(own, np.stack([window(t, low, width + m) for t, _, low, width in (wanted[i] for i in part)]), budget)
+            best = forth.argmin(axis=1)
+            edits = forth[np.arange(len(part)), best]
+            good = np.flatnonzero(edits <= budget)
+            if not len(good):
+                continue
+            stop = [min(len(wanted[part[g]][0]), wanted[part[g]][2] + int(best[g]) + m) for g in good]
+            # the same from behind gives the start
+            behind = [window(wanted[part[g]][0][:e][::-1], -budget, 2 * budget + m) for g, e in zip(good, stop, strict=True)]
+            back = ends(own[good][:, ::-1], np.stack(behind), budget).argmin(axis=1)
+            for g, e, b in zip(good, stop, back, strict=True):
+                out[part[g]] = (int(edits[g]), max(0, e - (m + int(b) - budget)), e)
+    return out
+
+
+def matches_of(p: Probes, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    """Per text (item, start, end, edits) of each confirmed region, as code points of the text."""
+    places, tries, wanted = [], [], []
+    for n, text in enumerate(texts):
+        chars, own_places = folded(text, digits=True)
+        places.append(own_places)
+        whole = None
+        for which, low, width in regions(p, chars):
+            probe = p.chars[which]
+            whole = chars.tobytes() if whole is None else whole
+            at = whole.find(probe.tobytes(), 4 * max(0, low), 4 * (low + width + len(probe)) + 4)
+            if at >= 0 and at % 4 == 0:
+                tries.append((n, which, (0, at // 4, at // 4 + len(probe))))
+            else:
+                tries.append((n, which, len(wanted)))
+                wanted.append((chars, which, low, width))
+    aligned = align(p, wanted)
+    found: list = [[] for _ in texts]
+    done = set()
+    for n, which, got in tries:
+        got = aligned[got] if isinstance(got, int) else got
+        if got and (n, which, got[2]) not in done:
+            done.add((n, which, got[2]))
+            found[n].append((p.item[which], int(places[n][got[1]]), int(places[n][got[2] - 1]) + 1, got[0]))
+    return found
 
 
 def matches(p: Probes, text: str | None):
-    """(item, start, end, edits) of each confirmed region, as code points of the text."""
-    chars, places = folded(text, digits=True)
-    found = []
-    whole = None
-    done = set()
-    for which, low, width in regions(p, chars):
-        probe, budget = p.chars[which], int(p.budget[which])
-        whole = chars.tobytes() if whole is None else whole
-        own, start = probe.tobytes(), max(0, low)
-        at = whole.find(own, 4 * start, 4 * (low + width + len(probe)) + 4)
-        if at >= 0 and at % 4 == 0:
-            got = (0, at // 4, at // 4 + len(probe))
-        else:
-            got = align(probe, chars, low, width, budget)
-        if got and (which, got[2]) not in done:
-            done.add((which, got[2]))
-            found.append((p.item[which], int(places[got[1]]), int(places[got[2] - 1]) + 1, got[0]))
-    return found
+    return matches_of(p, [text])[0]
+
+
+def in_parts(texts: list[str | None], chars: int = 500_000):
+    """(first, last) of runs of texts of about so many characters."""
+    first = size = 0
+    for n, text in enumerate(texts):
+        size += len(text or "")
+        if size >= chars or n == len(texts) - 1:
+            yield first, n + 1
+            first, size = n + 1, 0
 
 
 def _search(items: list[tuple[int, str]], rate: float):
     def search(batches):
-        p = probes(items, rate)
+        p = probes(items, rate, (LONG, SHORT))
         for batch in batches:
-            out = [(i, *m) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for m in matches(p, t.as_py())]
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            out = [(i, *m) for a, b in in_parts(texts) for i, found in zip(ids[a:b], matches_of(p, texts[a:b]), strict=True) for m in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(5)], ["doc_id", "item_id", "s", "e", "edits"])
 
     return search

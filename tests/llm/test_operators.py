@@ -362,3 +362,29 @@ def test_pipeline(spark):
     counts = {r["doc_id"]: r["count"] for r in kept[4].groupBy("doc_id").count().collect()}
     assert counts == {k: v for k, v in plan.items() if v}
     assert cp.STAGES[4][1](spark, kept[4], SF).count() == kept[4].count()
+
+
+def test_decontamination_of_excerpts(spark):
+    """Verbatim and edited excerpts of items, at any offset, among other words."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    items = {n: " ".join(rng.choices(vocabulary, k=n))[:n].replace(" ", "x", 1).strip() for n in (120, 160, 233, 300)}
+    fill = lambda: " ".join(rng.choices(vocabulary, k=15))
+    rows = []
+    for n, item in items.items():
+        for share in (0.9, 0.6, 0.5):
+            size = int(share * len(item))
+            if size >= 83:
+                for at in range(0, len(item) - size + 1, 9):
+                    part = item[at : at + size]
+                    rows.append((n, f"{fill()} {part} {fill()}"))
+                    rows.append((n, f"{fill()} {''.join(c if k % 15 != 7 else 'q' for k, c in enumerate(part))} {fill()}"))
+    clean = [(None, f"{fill()} {item[10:50]} {fill()}") for item in items.values()] + [(None, fill()) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows + clean)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontam.contaminated(df, bench).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(rows)}
+    # evenly edited items get the edits that grams of 8 characters imply
+    assert decontam.probes([(1, items[160])]).budget[0] == 16
