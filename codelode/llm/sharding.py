@@ -3,7 +3,7 @@
 Documents of equal text are linked, through their group and never pair by pair. They start in
 hashed shards. In each round a document proposes the shard where most of its group sits, among
 those with room, if more of the group is there than where it stands; proposals are admitted in
-group order up to each shard's quota. A last pass makes the counts even: what stands beyond a
+group order up to each shard's quota, round after round until none is made. A last pass makes the counts even: what stands beyond a
 shard's quota, documents without a group first, fills the shards below theirs.
 
 Odd cases: a null text counts as empty; rows that share a doc_id are rows of their own; with
@@ -13,24 +13,37 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.llm.common import materialize, nonneg_bits, prefix_sums
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.1) -> DataFrame:
+def _of(values: list[int], at: str) -> Column:
+    """The value for the shard in column ``at``."""
+    return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col(at) + 1)
+
+
+def _loads(rows: DataFrame, shards: int) -> list[int]:
+    load = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [load.get(s, 0) for s in range(shards)]
+
+
+def propagate(nodes: DataFrame, shards: int, max_rounds: int = 500, slack: float = 0.1, credits: int = 3) -> DataFrame:
     """``nodes`` (group ``g``, buckets ``b1``, ``b2``, ...) with column ``label`` after quota-bound rounds.
 
     Each round reads the loads of the shards (one row each) on the driver and writes the
-    labels to the shared folder.
+    labels to the shared folder. The seats that admitted documents leave are given out in the
+    same round, ``credits`` times over. The loop ends when no document proposes: whoever moves
+    goes where at least as many of its group sit, so that the sum of squared seats of each group
+    grows with every move and the end comes.
     """
     here = nodes
-    for _ in range(rounds):
-        load = dict.fromkeys(range(shards), 0) | {r["label"]: r["n"] for r in here.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        cap = -int(-sum(load.values()) * (1 + slack) // shards)
-        room = F.element_at(F.array(*(F.lit(max(0, cap - load[s])) for s in range(shards))), F.col("label") + 1)
+    for _ in range(max_rounds):
+        load = _loads(here, shards)
+        cap = -int(-sum(load) * (1 + slack) // shards)
+        room = _of([max(0, cap - n) for n in load], "label")
         seats = here.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
         of_group = Window.partitionBy("g")
         # among labels with as many seats a hash of group and label decides, so that groups spread and no two members swap
@@ -43,16 +56,22 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 0.1
         # joined by another key than grouped by, so that a hot group can be split
         asked = here.withColumn("gx", F.hex("g")).join(votes, ["gx", "label"], "left").drop("gx")
         asked = materialize(asked, "shard-asked")
-        moving = prefix_sums(asked.where("want is not null"), ["want"], ["b1", "b2"], ["g", "doc_id"], F.lit(1), "queue")
-        quota = F.element_at(F.array(*(F.lit(max(0, cap - load[s])) for s in range(shards))), F.col("want") + 1)
+        if not asked.where("want is not null").limit(1).count():
+            return here
+        moving = materialize(prefix_sums(asked.where("want is not null"), ["want"], ["b1", "b2"], ["g", "doc_id"], F.lit(1), "queue"), "shard-queue")
+        gone = [0] * shards
+        for _ in range(credits):
+            more = _loads(moving.where(F.col("queue") < _of([max(0, cap - n + x) for n, x in zip(load, gone, strict=True)], "want")), shards)
+            if more == gone:
+                break
+            gone = more
+        quota = _of([max(0, cap - n + x) for n, x in zip(load, gone, strict=True)], "want")
         moved = moving.withColumn("label", F.when(F.col("queue") < quota, F.col("want")).otherwise(F.col("label")))
         here = materialize(asked.where("want is null").drop("want").unionByName(moved.select(*nodes.columns)), "shard-labels")
-        if not asked.where("want is not null").limit(1).count():
-            break
-    return here
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, max_rounds: int = 500) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law 'rows', shard, slot and grown_shard (null: the law isn't 'key')."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     nodes = docs.select(
@@ -66,18 +85,17 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataFrame:
     nodes = nodes.select("doc_id", "size", "text_crc32", "g", nonneg_bits(g64, 52, 12).alias("b1"), nonneg_bits(F.col("h"), 60, 4).alias("b2"), F.pmod("h", F.lit(shards)).cast("int").alias("label"))
     alone = nodes.groupBy(F.hex("g").alias("gx")).agg((F.count(F.lit(1)) == 1).cast("int").alias("alone"))
     nodes = nodes.join(alone, F.col("g") == F.unhex("gx")).drop("gx")
-    labelled = propagate(materialize(nodes, "shard-nodes"), shards, rounds)
-    load = dict.fromkeys(range(shards), 0) | {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(load.values())
+    labelled = propagate(materialize(nodes, "shard-nodes"), shards, max_rounds)
+    load = _loads(labelled, shards)
+    total = sum(load)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     # what stands beyond its shard's quota, documents without a group last and so first to go, fills the gaps
     kept = [min(load[s], quota[s]) for s in range(shards)]
     over = [sum(load[x] - kept[x] for x in range(s)) for s in range(shards)]
     gaps = [sum(quota[x] - kept[x] for x in range(s)) for s in range(shards)]
-    of = lambda xs, c: F.element_at(F.array(*(F.lit(x).cast("long") for x in xs)), F.col(c) + 1)
     placed = prefix_sums(labelled, ["label"], ["alone", "b1", "b2"], ["g", "doc_id", "size"], F.lit(1), "at")
-    placed = placed.withColumn("stays", F.col("at") < of(kept, "label")).withColumn("spare", of(over, "label") + F.col("at") - of(kept, "label"))
+    placed = placed.withColumn("stays", F.col("at") < _of(kept, "label")).withColumn("spare", _of(over, "label") + F.col("at") - _of(kept, "label"))
     fill = F.greatest(*(F.when(F.col("spare") >= gaps[s], s).otherwise(-1) for s in range(shards) if quota[s] > kept[s]), F.lit(-1), F.lit(-1))
     placed = placed.withColumn("shard", F.when(F.col("stays"), F.col("label")).otherwise(fill).cast("int"))
-    slot = F.when(F.col("stays"), F.col("at")).otherwise(of(kept, "shard") + F.col("spare") - of(gaps, "shard")).cast("long")
+    slot = F.when(F.col("stays"), F.col("at")).otherwise(_of(kept, "shard") + F.col("spare") - _of(gaps, "shard")).cast("long")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

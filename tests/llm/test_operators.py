@@ -287,6 +287,22 @@ def test_sharding_keeps_groups(spark):
     assert sum(len(s) == 1 for s in shards.values()) >= 95
 
 
+def test_sharding_where_all_rows_have_copies(spark):
+    """Rounds go on until they settle: groups of ten, from independent starts, come whole."""
+    df = spark.createDataFrame([(i, f"t{i // 10}") for i in range(24_000)], "doc_id long, text string").coalesce(2)
+    shards = {}
+    for r in sharding.shard(df).collect():
+        shards.setdefault(r["doc_id"] // 10, set()).add(r["shard"])
+    # the last pass, which makes counts even, cuts a group at most at each end of what it moves
+    assert sum(len(s) > 1 for s in shards.values()) <= 2 * 24
+    nodes = sharding.materialize(df.selectExpr("doc_id", "unhex(md5(text)) g", "cast(pmod(hash(text), 64) as int) b1", "0 b2", "cast(pmod(xxhash64(doc_id), 24) as int) label"), "test")
+    with pytest.raises(RuntimeError):
+        sharding.propagate(nodes, 24, max_rounds=1)
+    settled = sharding.propagate(nodes, 24)
+    assert settled.count() == 24_000 and settled.groupBy("g").agg(F.countDistinct("label").alias("n")).where("n > 1").count() == 0
+    assert max(r["count"] for r in settled.groupBy("label").count().collect()) <= 1100
+
+
 def test_media(spark, docs):
     got = sorted(media.describe(media.store_texts(docs)).collect(), key=str)
     want = []
