@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership counts, with DataFrame operations only.
 
 Row by row, fixed patterns give the base spans. The hash of each candidate value is then
-counted over distinct repositories and distinct owners: a value of many owners is a widely
-copied example, one that a single owner has looks live. High-entropy strings of no known kind
-are added as spans of kind ``opaque`` only if a single owner has them.
+counted over distinct repositories and distinct owners: a value of many owners or of many
+repositories is a widely copied example, one that few of both have looks live. High-entropy
+strings of no known kind are added as spans of kind ``opaque`` only if they look live.
 
 Odd cases: a null text is empty; a null owner is an owner of its own; rows that share doc_id
 and text share one result; a row without matches has empty spans; an empty table gives no rows.
@@ -47,11 +47,15 @@ def spans_of(kind: str) -> Column:
     return F.when(F.col("t").rlike(test), walk).otherwise(F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo="doc_id", max_owners: int = 1, example_owners: int = 2) -> DataFrame:
-    """Per row: doc_id, ``base`` and ``spans`` arrays sorted by start and kind, n_live, n_example."""
+def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: str | None = "doc_id", max_owners: int = 1, example_owners: int = 2, max_repos: int = 10, example_repos: int = 11) -> DataFrame:
+    """Per row: doc_id, ``base`` and ``spans`` arrays sorted by start and kind, n_live, n_example.
+
+    Without ``repo`` owners decide alone. A null repository is one of its own.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     own = F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("?"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), own.alias("owner"), F.col(repo).cast("string").alias("repo"))
+    place = F.coalesce(F.concat(F.lit("="), F.col(repo).cast("string")), F.lit("?")) if repo else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), own.alias("owner"), place.alias("repo"))
     rows = rows.withColumn("rk", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "t")))
     rows = rows.select("doc_id", "rk", "owner", "repo", *(spans_of(k).alias(k) for k in KINDS))
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
@@ -60,15 +64,18 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo="do
     found = rows.select("rk", "owner", "repo", F.explode(F.concat("base", "opaque")).alias("s"))
     value = F.unhex(F.col("s")["value"])
     owners = found.select(value.alias("v"), "owner").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("owners"))
-    repos = found.select(value.alias("v"), "repo").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("repos"))
-    counts = owners.join(repos, "v").select(F.lower(F.hex("v")).alias("value"), "owners", "repos")
+    live, example = F.col("owners") <= max_owners, F.col("owners") >= example_owners
+    if repo:
+        repos = found.select(value.alias("v"), "repo").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("repos"))
+        owners = owners.join(repos, "v")
+        live, example = live & (F.col("repos") <= max_repos), example | (F.col("repos") >= example_repos)
+    counts = owners.select(F.lower(F.hex("v")).alias("value"), live.alias("live"), example.alias("example"))
     # the join key differs from the grouping key, so that both sides are dealt anew and a hot value can be split
     judged = found.select("rk", "s", F.col("s")["value"].alias("value")).distinct().join(counts, "value")
-    live, example = F.col("owners") <= max_owners, F.col("owners") >= example_owners
     per_row = judged.groupBy("rk").agg(
-        F.collect_list(F.when(live & (F.col("s")["kind"] == KINDS.index("opaque")), F.col("s"))).alias("added"),
-        F.sum(live.cast("long")).alias("n_live"),
-        F.sum(example.cast("long")).alias("n_example"),
+        F.collect_list(F.when(F.col("live") & (F.col("s")["kind"] == KINDS.index("opaque")), F.col("s"))).alias("added"),
+        F.sum(F.col("live").cast("long")).alias("n_live"),
+        F.sum(F.col("example").cast("long")).alias("n_example"),
     )
     out = rows.join(per_row, "rk", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))

@@ -266,6 +266,17 @@ def test_secrets(spark):
     assert len(got) == len(rows) and by[0][0]["n_example"] == 2 and by[3][0]["all"].endswith("opaque:69:93") and by[7][0]["n_live"] == 1
 
 
+def test_secrets_of_many_repositories(spark):
+    """One owner, but many repositories: an example, and no opaque span."""
+    many, few = "aB3dE5gH7jK9mN1pQ3sT5uV7", "zY3dE5gH7jK9mN1pQ3sT5uV8"
+    rows = [(i, f"see {many}", "s", f"r{i}") for i in range(30)] + [(100 + i, f"see {few} and {few}", "s", f"r{i % 2}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place string")
+    got = {r["doc_id"]: (len(r["spans"]), r["n_live"], r["n_example"]) for r in secrets.scan(df, repo="place").collect()}
+    assert got == {i: (0, 0, 1) if i < 100 else (2, 2, 0) for i, *_ in rows}
+    alone = {r["doc_id"]: (len(r["spans"]), r["n_live"], r["n_example"]) for r in secrets.scan(df, repo=None).collect()}
+    assert alone == {i: (1, 1, 0) if i < 100 else (2, 2, 0) for i, *_ in rows}
+
+
 def test_sharding(spark, docs):
     got = sharding.shard(docs).collect()
     by = {}
