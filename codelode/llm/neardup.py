@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each text gives a set of word shingles, its 128 minima, band hashes of the whole minima and a
-packed signature of the lowest 4 bits of each. Equal sets collapse to one representative.
+packed signature of 4 mixed bits of each. Equal sets collapse to one representative.
 Representatives that share a band become candidates, first against two pivots of the bucket
 (one by hash, one that shares most buckets with others);
 a collision-corrected estimate from bit counts drops the hopeless ones and the rest are
@@ -53,7 +53,14 @@ def minima(shingles: np.ndarray, functions=COARSE) -> np.ndarray:
 
 
 def packed(least: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """``bits`` planes of a bit for each minimum, as 64-bit words."""
+    """``bits`` planes of a bit for each minimum, as 64-bit words.
+
+    The bits are those of the mixed minimum: whether two values of a*x+b with odd a agree in
+    their own low bits depends on the values of x alone, the same for all functions.
+    """
+    least = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    least = (least ^ (least >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    least = least ^ (least >> np.uint32(16))
     planes = (least[None, :] >> np.arange(bits, dtype=np.uint32)[:, None]) & np.uint32(1)
     return np.packbits(planes.astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
 

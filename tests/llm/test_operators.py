@@ -92,6 +92,23 @@ def test_estimate_is_corrected(spark):
         assert abs(got - true) < room
 
 
+def test_estimate_of_small_sets():
+    """Chance collisions of bits are independent between functions, however small the sets."""
+    import numpy as np
+
+    from codelode.llm.grams import mix
+
+    rng = np.random.default_rng(3)
+    for common, a, b in ((3, 1, 0), (6, 1, 1), (6, 2, 0), (9, 2, 1), (12, 2, 2)):
+        low = 0
+        for _ in range(150):
+            x = mix(rng.integers(0, 1 << 60, common + a + b).astype(np.uint64))
+            pair = [np.unpackbits(neardup.packed(neardup.minima(np.unique(y), neardup.FINE), neardup.FINE_BITS).view(np.uint8)).reshape(neardup.FINE_BITS, -1) for y in (x[: common + a], np.concatenate((x[:common], x[common + a :])))]
+            same = (pair[0] == pair[1]).all(axis=0).mean()
+            low += (same - 0.25) / 0.75 < 0.75 - neardup.FINE_MARGIN
+        assert low == 0, (common, a, b, low)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["root"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
