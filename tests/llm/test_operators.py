@@ -432,3 +432,17 @@ def test_decontamination_of_excerpts(spark):
     assert got == {i: n for i, (n, _) in enumerate(rows)}
     # evenly edited items get the edits that grams of 8 characters imply
     assert decontam.probes([(1, items[160])]).budget[0] == 16
+
+
+def test_pipeline_rows_that_share_an_id(spark):
+    import corpus_pipeline as cp
+
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"]) > 100)
+    words_of = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, near, b = words_of("a", 60), words_of("a", 59) + " z", words_of("b", 60)
+    rows = [(2, a), (5, a), (5, b), (5, b), (6, near), (6, "other words of its own"), (None, a), (7, item), (7, "clean words here")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    unique = cp.materialize(cp.dedup(spark, df, SF), "test")
+    assert sorted(((r["doc_id"], r["text"]) for r in unique.collect()), key=str) == sorted([(2, a), (5, b), (6, rows[5][1]), (None, a), (7, item), (7, rows[8][1])], key=str)
+    safe = cp.decontaminate(spark, unique, SF)
+    assert safe.columns == cp.COLUMNS and sorted(r["text"] for r in safe.collect() if r["doc_id"] == 7) == [rows[8][1]]
