@@ -66,12 +66,16 @@ class Model:
                 found += [int(((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).sum()) for b in range(len(self.langs))]
         return np.maximum(0, (found - total * self.wrong) / (1 - self.wrong)), total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share among the hits of all, and the share of the text's n-grams that it knows."""
         if not self.langs or text is None or not has_letter(text):
-            return "und", 0.0
-        found, _ = self.hits(text)
+            return "und", 0.0, 0.0
+        found, total = self.hits(text)
         whole, best = found.sum(), int(found.argmax())
-        return self.langs[best], float(found[best] / whole) if whole > 0 else 0.0
+        return self.langs[best], float(found[best] / whole) if whole > 0 else 0.0, float(found[best] / total)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 _MEMBERS = [np.flatnonzero((np.arange(256) >> b) & 1) for b in range(8)]
@@ -104,15 +108,22 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: int = 600, keep: int = 6000, least: int = 3, share: float = 0.4) -> Model:
-    """Learn from ``docs``: an n-gram joins a language's filter if ``share`` of its frequency over all languages is there."""
+def _sampled(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: int = 600) -> tuple[list[tuple[str, int]], DataFrame | None]:
+    """The languages with their counts, and (lang, text) of about ``sample`` rows of each."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.crc32(F.concat(F.lit("langid:"), F.col(doc_id).cast("string"))).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
     if not sizes:
-        return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+        return [], None
     rate = F.element_at(F.create_map(*(x for k, n in sizes for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
-    chosen = rows.where(F.col("lang").isin([k for k, _ in sizes]) & (F.col("h") < rate * 2.0**32))
-    grams = map_arrow(chosen.select("lang", "text"), _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return sizes, rows.where(F.col("lang").isin([k for k, _ in sizes]) & (F.col("h") < rate * 2.0**32)).select("lang", "text")
+
+
+def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: int = 600, keep: int = 6000, least: int = 3, share: float = 0.4) -> Model:
+    """Learn from ``docs``: an n-gram joins a language's filter if ``share`` of its frequency over all languages is there."""
+    sizes, chosen = _sampled(docs, doc_id, text, lang, sample)
+    if not sizes:
+        return Model([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0))
+    grams = map_arrow(chosen, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "langid-grams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = grams.join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
@@ -127,12 +138,13 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: in
 
 
 def predictor(model: Model):
-    """A column function: text to struct(lang_pred, score)."""
+    """A column function: text to struct(lang_pred, score, known)."""
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,known:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        got = [model.predict(t.as_py()) for t in texts]
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        got = [model.judge(t.as_py()) for t in texts]
+        kinds = (pa.string(), pa.float64(), pa.float64())
+        return pa.StructArray.from_arrays([pa.array([g[c] for g in got], k) for c, k in enumerate(kinds)], ["lang_pred", "score", "known"])
 
     return predict
 
@@ -147,4 +159,26 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, **settings) ->
     source = docs if train_on is None else train_on
     ship(docs.sparkSession)
     model = train(source.where(in_training("doc_id")), **settings)
-    return docs.drop("lang_pred", "score").withColumn("_p", predictor(model)(F.col("text"))).select("*", "_p.*").drop("_p")
+    return docs.drop("lang_pred", "score").withColumn("_p", predictor(model)(F.col("text"))).select("*", "_p.lang_pred", "_p.score").drop("_p")
+
+
+def in_known_language(docs: DataFrame, part: float = 0.25, **settings) -> DataFrame:
+    """The rows of ``docs`` of whose n-grams the winning language knows at least ``part`` of its usual share.
+
+    The usual share is the median over the training rows sampled for that language. A text in
+    another language has chance hits and a few shared words only, whatever its length.
+    """
+    ship(docs.sparkSession)
+    source = docs.where(in_training("doc_id"))
+    model = train(source, **settings)
+    judge = predictor(model)
+    _, chosen = _sampled(source, **{k: v for k, v in settings.items() if k in ("doc_id", "text", "lang", "sample")})
+    usual = {}
+    if chosen is not None:
+        own = chosen.withColumn("_p", judge("text")).where("_p.lang_pred = lang").groupBy("lang").agg(F.percentile_approx("_p.known", 0.5).alias("m"))
+        usual = {r["lang"]: r["m"] for r in own.collect()}
+    least = F.lit(0.0)
+    for k, m in usual.items():
+        least = F.when(F.col("_p.lang_pred") == k, F.lit(part * m)).otherwise(least)
+    known = docs.withColumn("_p", judge(F.col("text")))
+    return known.where((F.col("_p.lang_pred") != "und") & (F.col("_p.score") > 0) & (F.col("_p.known") >= least)).drop("_p")

@@ -221,6 +221,18 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_unlearnt_languages_go(spark, docs):
+    """Texts in other letters go, with a Latin word or by length alone; texts in learnt languages stay."""
+    import random
+
+    rng = random.Random(5)
+    clean = docs.where("doc_id < 9000 and text rlike '[A-Za-z]'").select("doc_id", "text", "lang")
+    foreign = [(20_000 + i, "the " * (i % 2) + " ".join("".join(chr(rng.randrange(at, at + 40)) for _ in range(5)) for _ in range(n)), None) for i, (at, n) in enumerate((at, n) for at in (0x4E00, 0x0430, 0x05D0) for n in (30, 31, 500, 5000))]
+    mixed = clean.unionByName(spark.createDataFrame(foreign, "doc_id long, text string, lang string"))
+    assert sorted(r["doc_id"] for r in langid.in_known_language(mixed).collect()) == sorted(r["doc_id"] for r in clean.collect())
+    assert langid.in_known_language(mixed.limit(0)).count() == 0
+
+
 def test_more_than_eight_languages():
     import numpy as np
 
