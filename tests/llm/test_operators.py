@@ -343,14 +343,41 @@ def test_sharding_where_all_rows_have_copies(spark):
     assert max(r["count"] for r in settled.groupBy("label").count().collect()) <= 1100
 
 
+def plain_feature(payload):
+    """The feature by plain loops: means of cells of 24 samples by an eighth of the rows, against their mean."""
+    rows = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+    edges = [int(k * len(rows) / 8) for k in range(9)]
+    cells = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        for c in range(8):
+            own = [x for r in rows[a : max(b, a + 1)] for x in r[24 * c : 24 * c + 24]]
+            cells.append(sum(own) / len(own))
+    mean = sum(cells) / 64
+    bits = "".join(str(int(c > mean + 1e-9)) for c in cells)
+    return f"{int(bits, 2):016x}", any(abs(c - mean) < 1e-6 for c in cells)
+
+
 def test_media(spark, docs):
-    got = sorted(media.describe(media.store_texts(docs)).collect(), key=str)
+    from codelode.llm import webp
+
+    stored = media.store_texts(docs).persist()
+    files = {}
+    for r in stored.collect():
+        files.setdefault(r["doc_id"], []).append(bytes(r["media"]))
+    got = sorted(media.describe(stored).collect(), key=str)
     want = []
     for r in docs.collect():
         data = (r["text"] or "").encode()
         full = media.padded(data)
-        want.append((r["doc_id"], len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
-    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+        want.append((r["doc_id"], len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]), full))
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted((w[:5] for w in want), key=str)
+    payloads = {w[3]: w[5] for w in want}
+    for r in got:
+        full = payloads[r["payload_sha256"]]
+        own = [m for m in files[r["doc_id"]] if webp.load(m) == full]
+        assert r["media_bytes"] == len(own[0]) and r["media_sha256"] == hashlib.sha256(own[0]).hexdigest()
+        feature, tie = plain_feature(full)
+        assert tie or r["feature"] == feature
     assert media.describe(media.store_texts(docs.limit(0))).count() == 0
 
 

@@ -1,5 +1,6 @@
 """The lossless decoder on streams that use every part of the format, written by a small encoder here."""
 
+import base64
 import random
 
 import numpy as np
@@ -224,3 +225,103 @@ def test_broken_streams():
     for bad in (good[:30], b"RIFF" + bytes(20), good[:20] + b"\x00" + good[21:]):
         with pytest.raises(ValueError):
             webp.load(bad)
+
+
+def test_stream_of_another_encoder():
+    """The lossless feature-detection image that web pages carry: one transparent pixel."""
+    image = webp.decode_stream(next(webp.chunks(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))))
+    assert image.tolist() == [[[0, 0, 0, 0]]]
+
+
+def form(payload):
+    bits = webp.Bits(next(webp.chunks(webp.store(payload))))
+    bits.at = 8 + 28 + 4
+    return ("palette" if bits.read(2) == 3 else "other") if bits.read(1) else "cache" if bits.read(1) else "literals"
+
+
+def test_store_chooses_by_the_data():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = padded(" ".join(rng.choices(vocabulary, k=4000)).encode())
+    few = padded(b"".join(rng.choice((b"\x00\xfe\x01", b"\xf0\xf1\xf2", b"\x80\x90\xa0")) for _ in range(900)))
+    noise = padded(rng.randbytes(3000))
+    line = rng.randbytes(333)
+    again = padded(rng.randbytes(300) + line + rng.randbytes(600) + line + line)
+    assert [form(x) for x in (prose, few, noise)] == ["cache", "palette", "literals"]
+    for x in (prose, few, noise, again, b" " * 19_200, b"ab" * 96_000, line * 576):
+        assert webp.load(webp.store(x)) == x
+    px = np.frombuffer(again, np.uint8).reshape(-1, 3)
+    found = webp.repeats(px[:, 0].astype(np.uint32) << 16 | px[:, 1].astype(np.uint32) << 8 | px[:, 2])
+    assert [(n, back) for _, n, back in found] == [(111, 311), (111, 111)] or sum(n for _, n, _ in found) >= 222
+    assert len(webp.store(b" " * 192 * 1024)) < 300 and len(webp.store(line * 576)) < 3000
+
+
+def test_repeats_equal_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        v = rng.integers(0, 3, 400, dtype=np.uint32)
+        v[200:300] = v[37:137]
+        v[330:] = v[329]
+        done = 0
+        for at, n, back in webp.repeats(v):
+            assert at >= done and n >= webp.LEAST and all(v[i] == v[i - back] for i in range(at, at + n)) and (at + n == len(v) or v[at + n] != v[at + n - back])
+            done = at + n
+        assert any(n >= 60 for _, n, _ in webp.repeats(v))
+
+
+def test_cache_across_back_references():
+    """Copied pixels enter the cache as well, and slots never written to give transparent black."""
+    rng = random.Random(11)
+    for bits in (1, 3, 6):
+        ops, want, held = [("hit", 1)], [0], {}
+        held[0] = 0
+        while len(want) < 300:
+            kind = rng.random()
+            if kind < 0.15 and len(want) > 4:
+                n, d = min(300 - len(want), rng.randint(1, 20)), rng.randint(1, len(want))
+                ops.append(("copy", n, 120 + d))
+                own = []
+                for _ in range(n):
+                    want.append(want[-d])
+                    own.append(want[-1])
+            elif kind < 0.6 and held:
+                own = [rng.choice(list(held.values()))]
+                own = [held[webp._slot(own[0], bits)]]
+                ops.append(("hit", webp._slot(own[0], bits)))
+                want += own
+            else:
+                own = [0xFF000000 | rng.randrange(40) * 0x010305]
+                ops.append(("px", own[0]))
+                want += own
+            for v in own:
+                held[webp._slot(v, bits)] = v
+        w = Writer()
+        w.start(20, 15)
+        w.put(0, 1)
+        w.image(ops, True, cache_bits=bits)
+        assert argb(webp.decode_stream(w.data())) == want
+
+
+def test_predictor_rows_of_several_modes():
+    """Tiles of different modes side by side: array-wise rows and pixel-wise ones agree with the rules."""
+    rng = np.random.default_rng(9)
+    for allowed in ((0, 2, 3, 4, 8, 9), tuple(range(14)), (1,), (2,), (3,)):
+        residual = rng.integers(0, 256, (13, 11, 4), dtype=np.uint8)
+        modes = rng.choice(allowed, (4, 3)).astype(np.uint8)
+        got = residual.copy()
+        webp._undo_predictor(got, modes, 2)
+        half = lambda a, b: (a + b) // 2
+        want = np.zeros((13, 11, 4), int)
+        for y in range(13):
+            for x in range(11):
+                if y == 0:
+                    p = want[0, x - 1] if x else np.array((0, 0, 0, 255))
+                elif x == 0:
+                    p = want[y - 1, 0]
+                else:
+                    le, up, ul, ur = want[y, x - 1], want[y - 1, x], want[y - 1, x - 1], want[y - 1, x + 1] if x < 10 else want[y, 0]
+                    full, mean = le + up - ul, half(le, up)
+                    p = (np.array((0, 0, 0, 255)), le, up, ur, ul, half(half(le, ur), up), half(le, ul), mean, half(ul, up), half(up, ur), half(half(le, ul), half(up, ur)),
+                         le if abs(full - le).sum() < abs(full - up).sum() else up, np.clip(full, 0, 255), np.clip(mean + np.trunc((mean - ul) / 2).astype(int), 0, 255))[modes[y >> 2, x >> 2]]
+                want[y, x] = (residual[y, x] + p) & 255
+        assert (got == want).all(), allowed
