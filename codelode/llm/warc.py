@@ -10,6 +10,12 @@ Writing rolls files at ``roll_bytes``. A task writes under hidden names with its
 them; only the job's commit gives the files of successful attempts their names, so a lost
 executor or a second attempt leaves nothing behind.
 
+Odd cases of reading: a gzip member may hold any number of records, also part of one; blank
+lines between records and header lines that end in LF alone are read; a header that a record
+doesn't have is null; a file without records gives no rows; a block that doesn't start with
+``WARC/``, a record without a valid Content-Length and one that the file ends in raise a
+ValueError with the file's name, and no record is left out. For those of writing see ``write_warc``.
+
 Options: path; payload (true, false); checks (true: size and SHA-1 of the payload as read).
 """
 
@@ -45,7 +51,8 @@ from codelode.llm.common import fresh_path
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload_size long, payload_sha1 string, payload binary"
 #: Columns that come from one header each, for predicates.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
-PIECE = 1 << 16
+#: Bytes of a step in a file, and of the first one in a gzip member, which has room for most headers.
+PIECE, FIRST = 1 << 16, 1 << 10
 
 
 def open_store(path: str):
@@ -81,115 +88,143 @@ def record(kind: str, record_id: str, uri: str | None, refers_to: str | None, di
     return "\r\n".join(lines).encode() + http + payload + b"\r\n\r\n"
 
 
+BLANK = re.compile(rb"\r?\n\r?\n")
+
+
 def headers_of(block: bytes) -> dict[str, str]:
     out = {}
-    for line in block.split(b"\r\n")[1:]:
+    for line in block.split(b"\n")[1:]:
         name, _, value = line.partition(b":")
         out[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     return out
 
 
-class _Plain:
-    """Bytes of one record from a stream, in pieces; what isn't wanted is passed over."""
+class _Stream:
+    """The plain bytes of a file, in pieces; what isn't wanted is passed over."""
 
     def __init__(self, pull):
-        self.pull, self.have, self.over = pull, b"", False
+        self.pull, self.have = pull, b""
 
     def more(self) -> bool:
         data = self.pull()
         self.have += data
-        self.over = not data
         return bool(data)
 
-    def until(self, mark: bytes) -> bytes | None:
+    def blank(self) -> bool:
+        """Pass over line ends; whether anything follows."""
+        while True:
+            self.have = self.have.lstrip(b"\r\n")
+            if self.have:
+                return True
+            if not self.more():
+                return False
+
+    def headers(self) -> tuple[bytes, int]:
+        """What stands before the next blank line, and the bytes up to the end of that line."""
         at = 0
-        while (found := self.have.find(mark, at)) < 0:
-            at = max(0, len(self.have) - len(mark))
+        while not (found := BLANK.search(self.have, at)):
+            at = max(0, len(self.have) - 3)
             if not self.more():
-                return None
-        out, self.have = self.have[:found], self.have[found + len(mark) :]
-        return out
+                raise ValueError("the file ends in the headers of a record")
+        out, self.have = self.have[: found.start()], self.have[found.end() :]
+        return out, found.end()
 
     def take(self, n: int) -> bytes:
         parts, left = [], n
-        while left > 0 and (self.have or self.more()):
+        while left > 0:
+            if not self.have and not self.more():
+                raise ValueError("the file ends in a record")
             part = self.have[:left]
             parts.append(part)
             self.have, left = self.have[len(part) :], left - len(part)
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        while n > 0 and (self.have or self.more()):
+        while n > 0:
+            if not self.have and not self.more():
+                raise ValueError("the file ends in a record")
             part = min(n, len(self.have))
             self.have, n = self.have[part:], n - part
 
 
-def _members(f):
-    """(stream of the inflated member, skip to its end) for each gzip member of a file."""
-    size, at = f.size(), 0
-    while at < size:
-        f.seek(at)
-        head = f.read(24)
+class _Gzip:
+    """Pulls the plain bytes of the gzip members of a file one after the other, little of each at first."""
+
+    def __init__(self, f):
+        self.f, self.size, self.at, self.d, self.known, self.given = f, f.size(), 0, None, None, 0
+
+    def _begin(self) -> None:
+        self.f.seek(self.at)
+        head = self.f.read(24)
         if head[:2] != b"\x1f\x8b":
-            raise ValueError(f"no gzip member at byte {at}")
-        known = struct.unpack("<I", head[16:20])[0] if head[3] & 4 and head[12:14] == b"SL" else None
-        f.seek(at)
-        d, left, used = zlib.decompressobj(31), [known if known else size - at], [0]
-
-        def pull(d=d, left=left, used=used):
-            while not d.eof:
-                raw = d.unconsumed_tail
-                if not raw:
-                    raw = f.read(min(PIECE, left[0]))
-                    left[0] -= len(raw)
-                    used[0] += len(raw)
-                    if not raw:
-                        return b""
-                if out := d.decompress(raw, PIECE):
-                    return out
-            return b""
-
-        stream = _Plain(pull)
-        yield stream
-        if known:
-            at += known
-        else:
-            while not d.eof and pull():
-                pass
-            at += used[0] - len(d.unused_data)
+            raise ValueError(f"no gzip member at byte {self.at}")
+        self.known = struct.unpack("<II", head[16:24]) if len(head) == 24 and head[3] & 4 and head[12:14] == b"SL" else None
+        self.f.seek(self.at)
+        self.begun, self.raw, self.given, self.d = self.at, 0, 0, zlib.decompressobj(31)
+
+    def __call__(self) -> bytes:
+        while True:
+            if self.d is None:
+                if self.at >= self.size:
+                    return b""
+                self._begin()
+            raw = self.d.unconsumed_tail
+            if not raw:
+                left = self.known[0] - self.raw if self.known else 0
+                raw = self.f.read(min(PIECE, left) if left > 0 else PIECE)
+                self.raw += len(raw)
+            out = self.d.decompress(raw, PIECE if self.given else FIRST)
+            if self.d.eof:
+                self.at, self.d = self.begun + self.raw - len(self.d.unused_data), None
+            elif not raw and not out:
+                raise ValueError("the file ends in a gzip member")
+            if out:
+                self.given += len(out)
+                return out
+
+    def begins(self, held: int) -> bool:
+        """Whether the ``held`` bytes not yet used are all that was given of the present member, and more is to come."""
+        return self.d is not None and self.given == held
+
+    def past(self, plain: int) -> bool:
+        """Leave the present member if, by its extra field, it has just so many plain bytes: the next pull starts behind it."""
+        if self.d is None or not self.known or self.known[1] != plain:
+            return False
+        self.at, self.d = self.begun + self.known[0], None
+        return True
 
 
 def records(f, gz: bool, wanted, payloads: bool):
     """(headers, HTTP headers, payload or None) of the wanted records of an open file."""
-
-    def one(stream: _Plain, last: bool):
-        block = stream.until(b"\r\n\r\n")
-        if block is None or not block.strip():
-            return None
-        head = headers_of(block.lstrip())
-        n = int(head.get("content-length", 0))
-        if not wanted(head):
-            if not last:
-                stream.skip(n + 4)
-            return False
-        http = {}
-        if head.get("content-type", "").startswith("application/http"):
-            raw = stream.until(b"\r\n\r\n") or b""
-            http, n = headers_of(raw), n - len(raw) - 4
-        payload = stream.take(n) if payloads else None
-        if not last:
-            stream.skip(4 if payloads else n + 4)
-        return head, http, payload
-
-    if gz:
-        for stream in _members(f):
-            if got := one(stream, True):
-                yield got
-        return
-    stream = _Plain(lambda: f.read(PIECE))
-    while (got := one(stream, False)) is not None:
-        if got:
-            yield got
+    pull = _Gzip(f) if gz else lambda: f.read(PIECE)
+    stream = _Stream(pull)
+    while stream.blank():
+        alone = gz and pull.begins(len(stream.have))
+        block, used = stream.headers()
+        if not block.startswith(b"WARC/"):
+            raise ValueError(f"no record starts with {block[:20]!r}")
+        head = headers_of(block)
+        if not head.get("content-length", "").isdecimal():
+            raise ValueError(f"a record without a valid Content-Length: {head.get('content-length')!r}")
+        left = int(head["content-length"])
+        whole = used + left + 4  # plain bytes of a member that holds this record only
+        asked, http, payload = wanted(head), {}, None
+        if asked and head.get("content-type", "").startswith("application/http"):
+            raw = b""
+            while not (found := BLANK.search(raw)) and left and len(raw) < PIECE:
+                raw += (part := stream.take(min(left, FIRST)))
+                left -= len(part)
+            cut = found.end() if found else len(raw)
+            http = headers_of(raw[: found.start()] if found else raw)
+            stream.have, left = raw[cut:] + stream.have, left + len(raw) - cut
+        if asked and payloads:
+            payload = stream.take(left)
+        elif alone and pull.past(whole):
+            stream.have = b""
+        else:
+            stream.skip(left)
+        if asked:
+            yield head, http, payload
 
 
 @dataclass
@@ -206,7 +241,8 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else ""
+            at = getattr(f, "attribute", ())  # a negation has none
+            name = at[0] if len(at) == 1 else ""
             if name in HEADERS and isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
                 self.tests.append((name, "in", (f.value,)))
             elif name in HEADERS and isinstance(f, In):
@@ -229,13 +265,19 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def _records(self, f, path: str):
+        try:
+            yield from records(f, path.endswith(".gz"), self._wanted, self.payloads or self.checks)
+        except (ValueError, zlib.error) as e:
+            raise ValueError(f"{path}: {e}") from e
+
     def read(self, partition):
         if partition is None:  # Spark makes one partition of none
             return
         store, _ = open_store(self.path)
         rows, held = [], 0
         with store.open_input_file(partition.path) as f:
-            for head, http, payload in records(f, partition.path.endswith(".gz"), self._wanted, self.payloads or self.checks):
+            for head, http, payload in self._records(f, partition.path):
                 checked = (len(payload), base32_sha1(payload)) if self.checks else (None, None)
                 n = http.get("content-length")
                 rows.append((*(_field(c, head) for c in HEADERS), int(n) if n else None, *checked, payload if self.payloads else None))
@@ -347,8 +389,10 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, checks: bool
 def write_warc(pages: DataFrame, path: str, page_id="page_id", url="url", html="html", least_bytes: int = 0) -> None:
     """One record per row. Of equal payloads of ``least_bytes`` or more, the row with the least id is the response and the others revisit it.
 
-    A null html is an empty payload; a null id never is the one referred to, unless all are
-    null, when all are responses; rows that repeat the least id are responses too.
+    A null html is an empty payload, a null url gives no target; a null id never is the one
+    referred to, unless all are null, when all are responses; rows that repeat the least id are
+    responses too; a payload of any length is one record; an empty table gives no file; extra
+    columns are ignored.
     """
     register(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
@@ -370,7 +414,12 @@ def write_warc(pages: DataFrame, path: str, page_id="page_id", url="url", html="
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and return the records as read from them."""
-    path = fresh_path(pages.sparkSession, "warc")
+    """Write ``pages`` to archives in the shared folder and return the records as read from them.
+
+    Responses and revisits are read by predicates of their own: only the former inflate payloads,
+    to check size and SHA-1; for the latter, responses are passed over by seeks.
+    """
+    spark, path = pages.sparkSession, fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path, least_bytes=least_bytes)
-    return read_warc(pages.sparkSession, path, payload=False, checks=True)
+    responses = read_warc(spark, path, payload=False, checks=True).where("record_type = 'response'")
+    return responses.unionByName(read_warc(spark, path, payload=False).where("record_type = 'revisit'"))

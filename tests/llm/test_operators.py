@@ -420,6 +420,93 @@ def test_warc_predicates(spark, tmp_path):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2
 
 
+def plain_record(kind, n, content, end=b"\r\n"):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x:%d>" % n, b"Content-Length: %d" % len(content)]
+    if kind == b"response":
+        lines.append(b"Content-Type: application/http; msgtype=response")
+    return end.join(lines) + end * 2 + content + end * 2
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Several records a member, members that end in the midst of one, blank lines, LF line ends, records without HTTP."""
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b"\r\n\r\nWARC/1.0 p" * 20_000
+    made = [plain_record(b"warcinfo", 0, b"a: b"), plain_record(b"response", 1, body), plain_record(b"metadata", 2, b""), plain_record(b"response", 3, b"no blank line"), plain_record(b"response", 4, b"HTTP/1.1 200\n\nlf")]
+    whole = b"".join(made)
+    files = {
+        "members.warc.gz": b"".join(map(gzip.compress, made)),
+        "one.warc.gz": gzip.compress(whole),
+        "cut.warc.gz": gzip.compress(whole[:150]) + gzip.compress(whole[150:90_000]) + gzip.compress(whole[90_000:]),
+        "ours.warc.gz": b"".join(map(warc.member, made)),
+        "ours_two.warc.gz": warc.member(made[0] + made[1]) + warc.member(b"".join(made[2:])),
+        "plain.warc": whole,
+        "blank.warc": b"\r\n" + b"\r\n\n".join(made) + b"\r\n",
+        "lf.warc": b"".join(plain_record(k, n, c, b"\n") for k, n, c in ((b"warcinfo", 0, b"a: b"), (b"response", 1, body), (b"metadata", 2, b""), (b"response", 3, b"no blank line"), (b"response", 4, b"HTTP/1.1 200\n\nlf"))),
+        "empty.warc.gz": b"",
+        "empty.warc": b"\r\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        rows = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / name), checks=True).collect()}
+        if name.startswith("empty"):
+            assert not rows
+            continue
+        assert sorted(rows) == [f"urn:x:{n}" for n in range(5)], name
+        assert bytes(rows["urn:x:1"]["payload"]) == body[body.index(b"\r\n\r\n") + 4 :] and bytes(rows["urn:x:0"]["payload"]) == b"a: b", name
+        assert [bytes(rows[f"urn:x:{n}"]["payload"]) for n in (2, 3, 4)] == [b"", b"", b"lf"], name
+        for payload in (True, False):
+            some = warc.read_warc(spark, str(tmp_path / name), payload=payload).where("record_type <> 'response'")
+            only = warc.read_warc(spark, str(tmp_path / name), payload=payload).where("record_type = 'response'")
+            assert (some.count(), only.count()) == (2, 3), name
+
+
+@pytest.mark.parametrize("name, data", [
+    ("a.warc", b"no record at all\r\n\r\n"), ("b.warc", plain_record(b"x", 1, b"abc")[:-6]), ("c.warc", b"WARC/1.0\r\nWARC-Type: x\r\n"), ("d.warc", b"WARC/1.0\r\nWARC-Type: x\r\n\r\n"),
+    ("e.warc.gz", gzip.compress(plain_record(b"x", 1, b"abc" * 999))[:-30]), ("f.warc.gz", b"not gzip"), ("g.warc.gz", gzip.compress(plain_record(b"x", 1, b"abc")) + b"rest"), ("h.warc", plain_record(b"x", 1, b"abc") + b"more"),
+])
+def test_malformed_warc(tmp_path, name, data):
+    """Raised with the name of the file, never passed over."""
+    (tmp_path / name).write_bytes(data)
+    reader = warc.WarcReader({"path": str(tmp_path / name)})
+    with pytest.raises(ValueError, match=name):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_unwanted_payloads_are_not_inflated(tmp_path):
+    """Of a member that isn't wanted only the first KB is inflated and the next piece of the file read."""
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def size(self):
+            return self.f.seek(0, 2)
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            data = self.f.read(n)
+            self.n += len(data)
+            return data
+
+    import os
+
+    big = warc.record("response", "r", "http://a", None, "X", 5_000_000, os.urandom(5_000_000), "d")
+    (tmp_path / "w").write_bytes(warc.member(big) * 3 + warc.member(plain_record(b"revisit", 1, b"")))
+    with (tmp_path / "w").open("rb") as f:
+        counted = Counted(f)
+        assert [h["warc-type"] for h, _, _ in warc.records(counted, True, lambda h: h["warc-type"] == "revisit", True)] == ["revisit"]
+        assert counted.n < 4 * (warc.PIECE + 24)
+        counted.n = 0
+        assert len(list(warc.records(counted, True, lambda h: True, False))) == 4 and counted.n < 4 * (warc.PIECE + 24)
+
+
+def test_warc_with_clashing_columns(spark):
+    rows = [(*r, "x", 5, None) for r in PAGES]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, id int, record_type string")
+    assert warc.round_trip(df).count() == len(PAGES)
+
+
 def test_thin_queries(spark):
     for name, f in queries.QUERIES.items():
         assert f(spark, SF).count() > 0, name
