@@ -13,6 +13,10 @@ from codelode.functions.shipping import ship
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+#: Paths of intermediate tables by application.
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,14 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ready(spark: SparkSession) -> None:
+    """Before Python runs on the executors: this package goes there, and Arrow batches are bounded in bytes.
+
+    Ten thousand texts in a batch take tens of MB several times over, in the JVM and in each of
+    its Python workers. A bound that the session sets itself stays.
+    """
+    ship(spark)
+    if not spark.conf.get(BATCH_SETTING, ""):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow, with this package at hand on the executors."""
-    ship(df.sparkSession)
+    ready(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/codelode/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/codelode/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove the intermediate tables that this application has written, but for those whose label starts with one of ``keep``.
+
+    To be called once no DataFrame that reads them is needed any more: results are read lazily.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path.rpartition("/")[2].startswith(keep):
+            _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
