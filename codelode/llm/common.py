@@ -37,7 +37,7 @@ def ready(spark: SparkSession) -> None:
     its Python workers. A bound that the session sets itself stays.
     """
     ship(spark)
-    if not spark.conf.get(BATCH_SETTING, ""):
+    if spark.conf.get(BATCH_SETTING, None) is None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
