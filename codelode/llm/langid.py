@@ -1,15 +1,19 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-Row p of the filter is one integer with a bit for each language, so that the AND of an
-n-gram's rows is the set of all languages whose filter holds it. A text's hits are counted by
-language, corrected for each filter's false positive rate, and the largest count decides.
+Row p of the filter has a bit for each language, in as many 64-bit words as there are languages
+for, so that the AND of an n-gram's rows is the set of all languages whose filter holds it. A
+text's hits are counted by language, corrected for each filter's false positive rate, and the
+largest count decides.
 
-Training reads a bounded sample: about ``sample`` rows of each language (at most 64 languages,
-the most frequent), picked by hash of doc_id, and keeps at most ``keep`` n-grams of each.
+Training reads a bounded sample: about ``sample`` rows of each language, picked by hash of
+doc_id, and keeps at most ``keep`` n-grams of each. No language is left out; the model has 256 KB
+for up to 8 of them and 2 MB for each 64 beyond.
 
 Odd cases: a null text or one without a letter is ``und`` with score 0; without any hit the
 most frequent language is given with score 0; null langs aren't learnt; an empty training
-table makes everything ``und``; extra columns are ignored.
+table makes everything ``und``; texts of any length are read whole, in blocks; rows that repeat
+are judged each, and learnt from each where their doc_id is in the sample; extra columns stay,
+but for ``lang_pred``, ``score`` and ``_p``, which ``identify`` replaces or drops.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from codelode.functions.shipping import ship
-from codelode.llm.common import map_arrow, materialize
+from codelode.llm.common import map_arrow, materialize, ready
 from codelode.llm.grams import U64, char_runs, folded
 
 SIZES, SLOT_BITS, PROBES = (3, 4), 18, 3
@@ -48,7 +52,7 @@ def _slots(grams: np.ndarray):
 @dataclass
 class Model:
     langs: list[str]
-    rows: np.ndarray  # languages of each slot, as bits
+    rows: np.ndarray  # languages of each slot: bits of a byte, or of a row of 64-bit words
     wrong: np.ndarray  # false positive rate of each language's filter
 
     def hits(self, text: str | None) -> tuple[np.ndarray, int]:
@@ -59,11 +63,13 @@ class Model:
             for slot in _slots(grams):
                 mask = self.rows[slot] if mask is None else mask & self.rows[slot]
             total += len(grams)
-            if len(self.langs) <= 8:
+            if mask.ndim == 1:
                 of = np.bincount(mask, minlength=256)
                 found += [of[_MEMBERS[b]].sum() for b in range(len(self.langs))]
             else:
-                found += [int(((mask >> mask.dtype.type(b)) & mask.dtype.type(1)).sum()) for b in range(len(self.langs))]
+                for at in range(0, len(mask), 1 << 12):  # bits take eight times the room
+                    bits = np.unpackbits(mask[at : at + (1 << 12)].view(np.uint8), axis=1, bitorder="little")
+                    found += bits.sum(axis=0, dtype=np.int64)[: len(self.langs)]
         return np.maximum(0, (found - total * self.wrong) / (1 - self.wrong)), total
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
@@ -86,13 +92,17 @@ def has_letter(text: str) -> bool:
 
 
 def build(langs: list[str], grams: dict[str, np.ndarray]) -> Model:
-    kind = np.uint8 if len(langs) <= 8 else np.uint64
-    rows = np.zeros(1 << SLOT_BITS, kind)
+    """Filters of the n-grams of each language."""
+    if len(langs) <= 8:
+        rows = np.zeros(1 << SLOT_BITS, np.uint8)
+    else:
+        rows = np.zeros((1 << SLOT_BITS, -(-len(langs) // 64)), np.uint64)
     for b, lang in enumerate(langs):
+        column, bit = (rows, np.uint8(1 << b)) if rows.ndim == 1 else (rows[:, b // 64], U64(1) << U64(b % 64))
         for slot in _slots(grams[lang]):
-            np.bitwise_or.at(rows, np.unique(slot), kind(1 << b))
-    fill = np.array([((rows >> kind(b)) & kind(1)).mean() for b in range(len(langs))])
-    return Model(langs, rows, fill**PROBES)
+            column[np.unique(slot)] |= bit
+    bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+    return Model(langs, rows, bits.mean(axis=0)[: len(langs)] ** PROBES)
 
 
 def _counted(batches):
@@ -111,11 +121,11 @@ def _counted(batches):
 def _sampled(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: int = 600) -> tuple[list[tuple[str, int]], DataFrame | None]:
     """The languages with their counts, and (lang, text) of about ``sample`` rows of each."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.crc32(F.concat(F.lit("langid:"), F.col(doc_id).cast("string"))).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()]
+    sizes = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
     if not sizes:
         return [], None
     rate = F.element_at(F.create_map(*(x for k, n in sizes for x in (F.lit(k), F.lit(min(1.0, sample / n))))), F.col("lang"))
-    return sizes, rows.where(F.col("lang").isin([k for k, _ in sizes]) & (F.col("h") < rate * 2.0**32)).select("lang", "text")
+    return sizes, rows.where(F.col("h") < rate * 2.0**32).select("lang", "text")
 
 
 def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: int = 600, keep: int = 6000, least: int = 3, share: float = 0.4) -> Model:
@@ -128,13 +138,13 @@ def train(docs: DataFrame, doc_id="doc_id", text="text", lang="lang", sample: in
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     freq = grams.join(F.broadcast(totals), "lang").withColumn("f", F.col("n") / F.col("total"))
     apart = freq.groupBy("gram").agg(F.sum("f").alias("all_f"), F.collect_list(F.struct("lang", "n", "f")).alias("by"))
-    fit = apart.select("gram", "all_f", F.explode("by").alias("x")).where((F.col("x.n") >= least) & (F.col("x.f") >= share * F.col("all_f"))).select("gram", "x.lang", "x.f")
+    fit = apart.select("gram", F.explode("by").alias("x")).where((F.col("x.n") >= least) & (F.col("x.f") >= share * F.col("all_f"))).select("gram", "x.lang", "x.f")
+    # a limit by group that is applied on either side of the shuffle; the driver takes at most ``keep`` n-grams of each language
+    best = fit.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "gram"))).where(F.col("rank") <= keep)
+    top = best.select("lang", "gram").toPandas()
+    own = {k: v.to_numpy(np.int64).view(U64) for k, v in top.groupby("lang")["gram"]}
     langs = [k for k, _ in sizes]
-    found = {}
-    for k in langs:  # each takes at most ``keep`` n-grams to the driver
-        top = fit.where(F.col("lang") == k).orderBy(F.desc("f"), "gram").limit(keep).select("gram").toPandas()
-        found[k] = top["gram"].to_numpy(np.int64).view(U64)
-    return build(langs, found)
+    return build(langs, {k: own.get(k, np.empty(0, U64)) for k in langs})
 
 
 def predictor(model: Model):
@@ -157,7 +167,7 @@ def in_training(doc_id: str) -> Column:
 def identify(docs: DataFrame, train_on: DataFrame | None = None, **settings) -> DataFrame:
     """``docs`` with lang_pred and score, learnt from the training rows of ``train_on`` (``docs`` by default)."""
     source = docs if train_on is None else train_on
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     model = train(source.where(in_training("doc_id")), **settings)
     return docs.drop("lang_pred", "score").withColumn("_p", predictor(model)(F.col("text"))).select("*", "_p.lang_pred", "_p.score").drop("_p")
 
@@ -168,7 +178,7 @@ def in_known_language(docs: DataFrame, part: float = 0.25, **settings) -> DataFr
     The usual share is the median over the training rows sampled for that language. A text in
     another language has chance hits and a few shared words only, whatever its length.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     source = docs.where(in_training("doc_id"))
     model = train(source, **settings)
     judge = predictor(model)

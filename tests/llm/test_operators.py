@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, odd rows included."""
 
 import base64
+import collections
 import gzip
 import hashlib
 import itertools
@@ -233,6 +234,94 @@ def test_unlearnt_languages_go(spark, docs):
     assert langid.in_known_language(mixed.limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """Every run of 3 and 4 characters of the folded text between spaces, as code points."""
+    out, before = [], True
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            out.append(ord(low))
+            before = False
+        elif not before:
+            out.append(32)
+            before = True
+    if text and not text[0].isalpha():
+        out.insert(0, 32)
+    out = [32, *out, 32]
+    return [tuple(out[k : k + q]) for q in (3, 4) for k in range(len(out) - q + 1)]
+
+
+def plain_slots(gram):
+    """Where the three probes of an n-gram lie, by plain integers."""
+    m, h = 2**64, 0
+    for c in gram:
+        h = (h * (0x9E3779B97F4A7C15 | 1) + c) % m
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % m
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % m
+    h = (h ^ (h >> 31)) ^ len(gram)
+    return tuple((h >> (20 * j)) & ((1 << 18) - 1) for j in range(3))
+
+
+def plain_model(by_lang, keep=6000, least=3, share=0.4):
+    """{language: set of slots}: n-grams that occur ``least`` times and have ``share`` of their frequency in the language."""
+    counts = {k: collections.Counter(g for t in texts for g in plain_grams(t)) for k, texts in by_lang.items()}
+    freq = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    every = collections.Counter()
+    for f in freq.values():
+        every.update(f)
+    fit = {k: [(-freq[k][g], g) for g, n in c.items() if n >= least and freq[k][g] >= share * every[g]] for k, c in counts.items()}
+    assert all(len(v) <= keep for v in fit.values())
+    return {k: {s for _, g in v for s in plain_slots(g)} for k, v in fit.items()}
+
+
+def plain_verdict(model, text):
+    if text is None or not any(map(str.isalpha, text)):
+        return "und", 0.0, {}
+    grams = [plain_slots(g) for g in plain_grams(text)]
+    wrong = {k: (len(v) / 2**18) ** 3 for k, v in model.items()}
+    found = {k: max(0.0, (sum(all(s in v for s in g) for g in grams) - len(grams) * wrong[k]) / (1 - wrong[k])) for k, v in model.items()}
+    best = max(found, key=found.get)
+    return best, found[best] / sum(found.values()) if sum(found.values()) else 0.0, found
+
+
+def test_language_against_plain_python(spark):
+    """Training and every verdict over a whole table, where all training rows are in the sample."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    by_lang = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            by_lang.setdefault(r["lang"], []).append(r["text"])
+    model = plain_model(by_lang)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op9_langid(spark, SF).collect()}
+    for r in rows:
+        lang, score, _ = plain_verdict(model, r["text"])
+        assert got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 1e-9
+
+
+def test_seventy_languages(spark):
+    """More languages than a word has bits: each is learnt, and hits and verdicts equal plain Python's."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(vocabulary[k], k=25)), k) for i, k in enumerate(sorted(vocabulary) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by_lang = {}
+    for i, t, k in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            by_lang.setdefault(k, []).append(t)
+    plain = plain_model(by_lang)
+    model = langid.train(df.where(langid.in_training("doc_id")))
+    assert sorted(model.langs) == sorted(vocabulary)
+    for _, t, _ in rows[:60]:
+        _, _, found = plain_verdict(plain, t)
+        hits, total = model.hits(t)
+        assert total == len(plain_grams(t)) and max(abs(h - found[k]) for k, h in zip(model.langs, hits, strict=True)) < 1e-6
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    held = [(i, k) for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == k for i, k in held) >= 0.98 * len(held)
+
+
 def test_more_than_eight_languages():
     import numpy as np
 
