@@ -79,6 +79,11 @@ def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def parts_of(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def nonneg_bits(key: Column, shift: int, bits: int) -> Column:
     """``bits`` bits of a 64-bit hash, from bit ``shift`` on."""
     return F.shiftrightunsigned(key, shift).bitwiseAND((1 << bits) - 1).cast("int")

@@ -6,17 +6,23 @@ Representatives that share a band become candidates, first against two pivots of
 (one by hash, one that shares most buckets with others);
 a collision-corrected estimate from bit counts drops the hopeless ones and the rest are
 confirmed on full sets. Members of a bucket that are still in different components after that
-are then compared with each other by longer signatures, so that no candidate link between components is missed,
-while a bucket whose members are all linked never costs more than one comparison each.
-
-Odd cases: texts without words have empty sets and link with nothing; a null doc_id is never
-linked and is kept; rows that share a doc_id are linked by their own texts; an empty table
-gives no rows; extra columns are ignored.
+are then compared with each other, so that no candidate link between components is missed:
+those outside the bucket's largest component against all, if they are ``CROWD`` at most. Larger
+crowds, such as pages of one template, which share buckets and never link, are split further by
+the rarest shingles of each member: two sets of similarity t share one of the n - ceil(t n) + 1
+rarest of either, whatever the counts are taken over, so that this is exact. The pairs left by
+the estimate are estimated again by longer signatures and confirmed.
+
+Odd cases: texts without words have empty sets and link with nothing; a text of any length is
+read whole; a null doc_id is never linked and is kept; rows that share a doc_id are linked by
+their own texts; repeated rows are one document; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import map_arrow, materialize, small
+from codelode.llm.common import map_arrow, materialize, parts_of, small
 from codelode.llm.components import components
 from codelode.llm.grams import U64, mix, shingle_set
 
@@ -33,6 +39,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 MARGIN = 0.19
 #: Signatures for the second comparison: 2048 minima of 2 bits, a deviation of 0.0115; 4.5 of them are allowed.
 FINE_HASHES, FINE_BITS, FINE_MARGIN = 2048, 2, 0.052
+#: Members of a bucket outside its largest component that are compared with all its members.
+CROWD = 48
 
 
 def _functions(n: int, salt: int):
@@ -128,6 +136,29 @@ def _fine(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), lists], ["id", "tkey", "sig"])
 
 
+def _shingles(batches):
+    """(id, shingle) of whole texts, in batches of bounded size."""
+    for batch in batches:
+        for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            s = shingle_set(text.as_py()).view(np.int64)
+            for at in range(0, len(s), 1 << 16):
+                part = s[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], ["id", "shingle"])
+
+
+def across(keyed: DataFrame, key: str, nodes: DataFrame, near: Column) -> DataFrame:
+    """(a, b) of the members (key, id, comp, most) of each key that are in different components, and ``near`` by their ``nodes``.
+
+    ``most`` is the key's largest component. Members of it stand on one side only, so that a
+    large component costs each outsider one comparison a member and none among themselves.
+    """
+    side = lambda df, x: df.select(key, "most", F.col("id").alias(x), F.col("comp").alias(f"c{x}")).join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
+    # an exchange between the parts: the join below deals both sides by the key alone, so that a hot one can be split
+    left, right = side(keyed.where("comp <> most"), "a"), side(keyed, "b").drop("most")
+    pairs = left.join(right, key).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def estimate(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     """Similarity from two packed signatures: equal slots by bit counts, corrected for chance collisions of 2^-bits."""
     words = hashes // 64
@@ -135,6 +166,27 @@ def estimate(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     return F.expr(f"(({hashes} - ({differ})) / {hashes}D - {2.0**-bits}D) / {1 - 2.0**-bits}D")
 
 
+def _rarest(crowd: DataFrame, nodes: DataFrame, texts_of, threshold: float) -> DataFrame:
+    """(shingle, id, comp, most) of the rarest shingles of each member of ``crowd`` that others have too.
+
+    The order is by the number of members that have a shingle, then by the shingle. Shingles of
+    one member only come first and are left out: they leave less room for others.
+    """
+    keys = nodes.join(crowd, "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
+    sets = materialize(map_arrow(texts_of(keys).repartition(parts_of(keys.sparkSession), "doc_id"), _shingles, "id long, shingle long"), "dup-shingles")
+    held = sets.groupBy(F.bitwise_not("shingle").alias("ns")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = sets.join(held.select(F.bitwise_not("ns").alias("shingle"), "k"), "shingle")
+    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("s")).join(nodes.select("id", "n"), "id")
+    # places for shared ones: n - ceil(t n) + 1, less the shingles of this member alone
+    percent = round(threshold * 100)
+    room = F.expr(f"cast(n - (({percent} * n + 99) div 100) + 1 - (n - size(s)) as int)")
+    kept = own.where(room > 0).select("id", F.explode(F.slice("s", 1, room)).alias("x")).select("id", "x.shingle").join(crowd, "id")
+    kept = materialize(kept, "dup-rarest")
+    by_comp = kept.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = by_comp.groupBy(F.bitwise_not("shingle").alias("ns")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k < all")
+    return kept.join(mixed.select(F.bitwise_not("ns").alias("shingle"), "most"), "shingle")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: float = 0.75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
@@ -174,22 +226,27 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: fl
     links = confirm(first)
     roots = components(links)
 
+    near = sized & (estimate("sa", "sb") >= threshold - MARGIN)
     in_comp = members.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("comp"))
-    mixed = in_comp.groupBy(F.bitwise_not("band").alias("nb")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rest = materialize(in_comp.join(mixed.select(F.bitwise_not("nb").alias("band")), "band"), "dup-rest")
-    keys = nodes.join(rest.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
-    fine = materialize(map_arrow(texts_of(keys), _fine, "id long, tkey long, sig array<long>"), "dup-fine")
-    rest = materialize(rest.join(reps.select("id", "tkey", "n", "bands"), "id").join(fine, ["id", "tkey"]), "dup-rest")
-    left = rest.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"), F.col("tkey").alias("ka"))
-    right = rest.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"), F.col("tkey").alias("kb"))
-    likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
-    # a pair that shares several bands is made in the first of them only
-    once = F.expr("element_at(filter(zip_with(ba, bb, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band")
-    second = left.join(right, "band").where((F.col("ca") < F.col("cb")) & sized & likely & once)
-    swap = F.col("a") > F.col("b")
-    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ka", "kb"), ("kb", "ka"))]
-    second = materialize(second.select(*ends).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "dup-second")
+    by_comp = in_comp.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = by_comp.groupBy(F.bitwise_not("band").alias("nb")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"))
+    mixed = mixed.where("k < all").select(F.bitwise_not("nb").alias("band"), "most", (F.col("all") - F.col("k") > CROWD).alias("crowded"))
+    rest = materialize(in_comp.join(mixed, "band"), "dup-rest")
+    found = [across(rest.where("not crowded"), "band", nodes, near)]
+    crowd = materialize(rest.where("crowded").groupBy(F.bitwise_not("id").alias("ni")).agg(F.max("comp").alias("comp")).select(F.bitwise_not("ni").alias("id"), "comp"), "dup-crowd")
+    if crowd.limit(1).count():
+        found.append(across(_rarest(crowd, nodes, texts_of, threshold), "shingle", nodes, near))
+    second = reduce(DataFrame.unionByName, found).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = materialize(second, "dup-second")
     if second.limit(1).count():
+        ids = second.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        keys = nodes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
+        # dealt by rows, not by bytes, which say little about the work on them
+        texts = texts_of(keys).repartition(parts_of(rows.sparkSession), "doc_id")
+        fine = materialize(map_arrow(texts, _fine, "id long, tkey long, sig array<long>"), "dup-fine")
+        of = lambda x: fine.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"), F.col("sig").alias(f"s{x}"))
+        likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
+        second = materialize(second.join(of("a"), "a").join(of("b"), "b").where(likely).select("a", "b", "ka", "kb"), "dup-second")
         roots = components(links.unionByName(confirm(second)))
 
     classes = reps.join(roots, "id", "left").select(F.hex("digest").alias("dx"), F.coalesce("root", "id").alias("root"))

@@ -78,6 +78,62 @@ def test_near_duplicates_in_a_family(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == dict(enumerate(label))
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """Pages of one template, which share buckets, and among them linked ones that neither pivot nor hub joins."""
+    import random
+
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(90)]
+    texts = []
+    for g in range(90):
+        own = [f"u{g}_{i}" for i in range(40)]
+        texts.append(" ".join(template + own))
+        for k in range(g % 3):
+            texts.append(" ".join(template + own[: 40 - 2 * k] + [f"v{g}_{k}_{i}" for i in range(3)]))
+    long = [f"l{i}" for i in range(200)]
+    texts += [" ".join([*long, f"z{i}"]) for i in range(120)]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    edges = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(edges) < 8000
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowd in (2, neardup.CROWD, 10_000):
+        monkeypatch.setattr(neardup, "CROWD", crowd)
+        assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == dict(enumerate(label)), crowd
+
+
+def test_rarest_shingles_join_every_link(spark):
+    """Whatever the sets, two of similarity 0.75 share one of their rarest shingles."""
+    import random
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(5, 40))]
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(60)}"
+            texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame([(i, t, i, len(s)) for i, (t, s) in enumerate(zip(texts, sets, strict=True))], "id long, text string, comp long, n long").withColumn("tkey", F.xxhash64("text"))
+    by = {}
+    for r in neardup._rarest(df.select("id", "comp"), df, lambda keys: df.select(F.col("id").alias("doc_id"), "tkey", "text"), 0.75).collect():
+        by.setdefault(r["shingle"], set()).add(r["id"])
+    joined = {p for ids in by.values() for p in itertools.combinations(sorted(ids), 2)}
+    links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links and links <= joined
+
+
 def test_estimate_is_corrected(spark):
     import numpy as np
 
