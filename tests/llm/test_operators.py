@@ -252,9 +252,9 @@ def test_alignment_equals_brute_force():
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(800)]
     for _ in range(60):
         item = " ".join(rng.choices(vocabulary, k=rng.randint(10, 22)))[:160].strip()
-        p = decontam.probes([(1, item)])
+        index, most = decontam.index_of([(1, item)], scales=(decontam.LONG,)), len(item) // 10
         text = list(item)
-        for _ in range(rng.randint(0, int(p.budget[0]) + 4)):
+        for _ in range(rng.randint(0, most + 4)):
             k = rng.randrange(len(text))
             text[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
         doc = " ".join(rng.choices(vocabulary, k=20)) + " " + "".join(text) + " " + " ".join(rng.choices(vocabulary, k=20))
@@ -265,7 +265,7 @@ def test_alignment_equals_brute_force():
             for j, y in enumerate(chars, 1):
                 new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
             row = new
-        assert bool(decontam.matches(p, doc)) == (min(row) <= p.budget[0])
+        assert bool(decontam.matches_of(index, [doc])[0]) == (min(row) <= most)
 
 
 def test_language(spark, docs):
@@ -701,10 +701,114 @@ def test_decontamination_of_excerpts(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     got = {r["doc_id"]: r["item_id"] for r in decontam.contaminated(df, bench).collect()}
     assert got == {i: n for i, (n, _) in enumerate(rows)}
-    # evenly edited items get the edits that grams of 8 characters imply
+    # evenly edited items get all of their edits
     assert decontam.probes([(1, items[160])]).budget[0] == 16
 
 
+def test_edits_at_the_bound(spark):
+    """A tenth of an item's characters, rounded down, may differ, at every length; one more may not."""
+    import random
+
+    rng = random.Random(9)
+    fill = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    items, rows, want = {}, [], {}
+    for m in range(24, 161):
+        item = "".join(rng.choice("ijklmnopqrstuvwxyz") for _ in range(m))
+        items[m] = item
+        for over in (0, 1):
+            for _ in range(3):
+                places = rng.sample(range(m), m // 10 + over)
+                text = list(item)
+                for k in places:
+                    text[k] = rng.choice("0123456789")
+                rows.append((len(rows), f"{fill(50)} {''.join(text)} {fill(50)}"))
+                want[rows[-1][0]] = m if not over else None
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {}
+    for r in decontam.contaminated(df, bench).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+    for i, m in want.items():
+        if m is not None:
+            assert got.get(i) == {m}, (i, m)
+    # one edit more: only where a short probe inside the item has fewer of them
+    for i, (_, text) in enumerate(rows):
+        if want[i] is None:
+            m = len(text.strip()) if i not in got else next(iter(got[i]))
+            assert i not in got or m > 56
+
+
+def test_short_items_are_searched_exactly(spark):
+    bench = spark.createDataFrame([(1, "Kurz"), (2, "two  words!"), (3, "...")], "item_id long, text string")
+    texts = ["ein kurz-er Satz", "kurzer", "KURZ", "of two Words.", "two or words", "", "kurz two words kurz"]
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["probes"], r["edits"]) for r in got.collect()) == [(0, 1, 4, 8, 1, 0), (2, 1, 0, 4, 1, 0), (3, 2, 3, 12, 1, 0), (6, 1, 0, 19, 2, 0), (6, 2, 5, 14, 1, 0)]
+
+
+def plain_folded(text):
+    out, before = [], True
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalnum():
+            out.append(low)
+            before = False
+        elif not before:
+            out.append(" ")
+            before = True
+    return "".join(out)
+
+
+def plain_probes(item):
+    """Windows of 160 by 80 and of 56 by 28 characters, the last at the end; a shorter item whole."""
+    out = set()
+    for size, stride in ((160, 80), (56, 28)):
+        if len(item) <= size:
+            out.add(item)
+        else:
+            out |= {item[a : a + size] for a in range(0, len(item) - size, stride)} | {item[-size:]}
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    """The query over whole tables: every (document, item) by plain edit distances of all probes against all texts."""
+    import numpy as np
+
+    docs = [(r["doc_id"], plain_folded(r["text"] or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], plain_folded(r["text"]).strip()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    gap = "\uffff" * 161
+    whole = gap.join(["", *(t for _, t in docs), ""])
+    chars, starts, at = np.array(list(map(ord, whole)), np.uint32), [], 161
+    for _, t in docs:
+        starts.append(at)
+        at += len(t) + 161
+    want = set()
+    for item, text in items:
+        for probe in plain_probes(text):
+            most = len(probe) // 10
+            cost = np.zeros(len(chars) + 1, np.int16)
+            live = np.arange(len(chars) + 1)
+            # a stretch within k edits of a probe holds one of k + 1 parts of it unchanged: look around those only
+            parts = np.linspace(0, len(probe), most + 2).astype(int)
+            near = set()
+            for a, b in zip(parts, parts[1:], strict=False):
+                x = whole.find(probe[a:b])
+                while x >= 0:
+                    near.add((x - a) // 64)
+                    x = whole.find(probe[a:b], x + 1)
+            for block in near:
+                low = max(0, block * 64 - most - 1)
+                own = chars[low : block * 64 + 64 + len(probe) + most + 1]
+                cost, live = np.zeros(len(own) + 1, np.int64), np.arange(len(own) + 1)
+                for j, c in enumerate(probe):
+                    new = np.append(j + 1, np.minimum(cost[:-1] + (own != ord(c)), cost[1:] + 1))
+                    cost = np.minimum.accumulate(new - live) + live
+                if cost.min() <= most:
+                    end = low + int(cost.argmin())
+                    want.add((docs[int(np.searchsorted(starts, max(end - 1, 0), "right")) - 1][0], item))
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op7_decontam(spark, SF).collect()}
+    assert got == want and want
+
+
 def test_pipeline_rows_that_share_an_id(spark):
     import corpus_pipeline as cp
 
