@@ -6,14 +6,16 @@ over the corpus. The others are sorted, with the words right and left of the pla
 compared with its neighbours from other documents: the match is extended right and left, and
 counts from ``min_words`` words on. A long passage is covered by the matches around each of its
 minimisers. The sort is a range partitioning by the whole content, so that a run that very many
-documents have is spread over tasks; the edges of each partition are compared in a last step.
+documents have is spread over tasks; the edges of the partitions are sorted and compared in the
+same way, in as many levels as it takes until one task's share of rows is left.
 Where suffixes beyond the neighbours looked at have the run too, the stretches of ``min_words``
 words around the place that they could share are counted over the corpus by hash, so that the
 number of neighbours is no cap.
 
 Odd cases: null, empty and short texts have no passage; a repeat inside one document only isn't
-one; rows that share a doc_id are one document; a null doc_id is left out; an empty table gives
-no rows; extra columns are ignored. Documents without a passage have no row.
+one; rows that share a doc_id are one document, repeated rows too; a null doc_id is left out; a
+text of any length is read whole; an empty table gives no rows; extra columns are ignored.
+Documents without a passage have no row.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codelode.llm.common import map_arrow, materialize
+from codelode.llm.common import map_arrow, materialize, parts_of
 from codelode.llm.grams import U64, mix, runs, words
 
-#: Words in a run; neighbours looked at on each side.
-K, HOPS = 16, 8
+#: Words in a run; neighbours looked at on each side; rows of a partition where edges are compared.
+K, HOPS, EDGES = 16, 8, 8192
 FOUND = "doc_id long, s long, e long, edge boolean, window long, lo long, hi long, right binary, left binary, at long"
 
 
@@ -103,11 +105,12 @@ def _windows(right: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.where(inside, mix(total) | U64(1), U64(0))[:, ::-1]
 
 
-def _compare(min_words: int, edges: bool):
+def _compare(min_words: int, edges: bool, further: bool = False):
     """Over sorted suffixes: (s, e) of what each shares with its neighbours.
 
-    With ``edges`` also the rows at either edge of the partition, and the stretches of each suffix
-    that one further off than HOPS could share: whose they are, and which are still in question.
+    With ``edges`` also the rows at either edge of the partition; with ``further`` the stretches
+    of each suffix that one further off than HOPS could share: whose they are, and which are
+    still in question.
     """
 
     def rest(doc, at, right, left, reach, most_r, most_l):
@@ -154,7 +157,7 @@ def _compare(min_words: int, edges: bool):
             r, l = most_r[of], most_l[of]
             hit = np.flatnonzero(r > 0)
             yield _batch(doc_id=doc[hit], s=at[hit] - l[hit], e=at[hit] + r[hit])
-            if edges:
+            if further:
                 # no suffix beyond the last neighbour on a side shares more than it does; beyond the partition any may
                 reach = np.full(len(first), min_words)
                 if len(first) > 2 * HOPS:
@@ -172,6 +175,8 @@ def _compare(min_words: int, edges: bool):
         if edges and tail is not None:
             doc, at, rb, lb = (x[-HOPS:] for x in tail)
             yield _edge_rows(doc, at, rb, lb)
+        if further and tail is not None:
+            doc, at, rb, lb = (x[-HOPS:] for x in tail)
             none = np.zeros(len(doc), np.int64)
             yield from rest(doc, at, _matrix(rb, min_words), _matrix(lb, min_words - K), none + min_words, none, none)
 
@@ -202,17 +207,22 @@ def repeated_passages(docs: DataFrame, doc_id="doc_id", text="text", min_words:
     wanted = kept.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
     context = map_arrow(rows.join(wanted, "doc_id"), _contexts(min_words), "doc_id long, at long, right binary, left binary")
     context = materialize(context, "passage-suffixes")
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = context.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
-    found = materialize(map_arrow(ordered, _compare(min_words, True), FOUND), "passage-matches")
-    # a few rows from the edges of each partition, compared in one task
-    edges = found.where("edge").select(*ORDER).distinct().coalesce(1).sortWithinPartitions(*ORDER)
-    across = map_arrow(edges, _compare(min_words, False), FOUND)
+    ordered = context.repartitionByRange(parts_of(docs.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
+    found = materialize(map_arrow(ordered, _compare(min_words, True, True), FOUND), "passage-matches")
+    spans = found.where("e is not null").select("doc_id", "s", "e")
+    # what stands at the edges is compared across them: 2 * HOPS rows of each partition, then of each partition of those
+    edges = materialize(found.where("edge").select(*ORDER).distinct(), "passage-edges")
+    while (n := edges.count()) > EDGES:
+        ordered = edges.repartitionByRange(-(-n // (EDGES // 2)), *ORDER).sortWithinPartitions(*ORDER)
+        level = materialize(map_arrow(ordered, _compare(min_words, True), FOUND), "passage-matches")
+        spans = spans.unionByName(level.where("e is not null").select("doc_id", "s", "e"))
+        edges = materialize(level.where("edge").select(*ORDER).distinct(), "passage-edges")
+    across = map_arrow(edges.coalesce(1).sortWithinPartitions(*ORDER), _compare(min_words, False), FOUND)
     # exactly, what lies further off than the neighbours looked at: equal stretches of min_words words of several documents
     owners = found.where("lo is not null").groupBy(F.bitwise_not("window").alias("nw")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     asked = found.where("window is not null and lo is null").select("doc_id", "s", "window")
     further = asked.join(owners.select(F.bitwise_not("nw").alias("window")), "window").select("doc_id", "s", (F.col("s") + min_words).alias("e"))
-    spans = found.where("e is not null").select("doc_id", "s", "e").unionByName(across.select("doc_id", "s", "e")).unionByName(further)
+    spans = spans.unionByName(across.select("doc_id", "s", "e")).unionByName(further)
     by_start = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(by_start.rowsBetween(Window.unboundedPreceding, 0))
