@@ -6,9 +6,13 @@ those with room, if more of the group is there than where it stands; proposals a
 group order up to each shard's quota, round after round until none is made. A last pass makes the counts even: what stands beyond a
 shard's quota, documents without a group first, fills the shards below theirs.
 
-Odd cases: a null text counts as empty; rows that share a doc_id are rows of their own; with
-fewer documents than shards some shards stay empty; an empty table gives no rows; extra columns
-are ignored.
+Running sums go by buckets of some hundred rows to a few thousand: documents by the hash of their
+group, and those of a large group by a hash of their own, into as many buckets as its count asks for.
+
+Odd cases: a null text counts as empty; rows that share a doc_id are rows of their own, and
+repeated rows a group of equal texts; null doc_ids are kept; texts of any length are read for
+their hash and size only; with fewer documents than shards some shards stay empty; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from pyspark.sql.window import Window
 from codelode.llm.common import materialize, nonneg_bits, prefix_sums
 
 
+#: Rows of a bucket, of groups and within a group.
+BUCKET, OWN_BUCKET = 8192, 256
+
+
 def _of(values: list[int], at: str) -> Column:
     """The value for the shard in column ``at``."""
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col(at) + 1)
@@ -71,6 +79,16 @@ def propagate(nodes: DataFrame, shards: int, max_rounds: int = 500, slack: float
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 
+def bucketed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (``g``, ``h``) with ``alone``, 1 without a group, ``b1`` by group and ``b2`` within a large group."""
+    bits = min(24, max(12, (nodes.count() // BUCKET).bit_length()))
+    sizes = nodes.groupBy(F.hex("g").alias("gx")).agg(F.count(F.lit(1)).alias("members"))
+    # joined by another key than grouped by, so that a hot group can be split
+    out = nodes.join(sizes, F.col("g") == F.unhex("gx"))
+    within = F.pmod(F.col("h"), F.ceil(F.col("members") / OWN_BUCKET).cast("long"))
+    return out.withColumn("alone", (F.col("members") == 1).cast("int")).withColumn("b1", nonneg_bits(F.xxhash64("g"), 64 - bits, bits)).withColumn("b2", within.cast("int")).drop("gx", "members", "h")
+
+
 def shard(docs: DataFrame, shards: int = 24, max_rounds: int = 500) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law 'rows', shard, slot and grown_shard (null: the law isn't 'key')."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
@@ -81,11 +99,8 @@ def shard(docs: DataFrame, shards: int = 24, max_rounds: int = 500) -> DataFrame
         F.unhex(F.md5(text)).alias("g"),
         F.xxhash64("doc_id", F.lit("shard")).alias("h"),
     )
-    g64 = F.xxhash64("g")
-    nodes = nodes.select("doc_id", "size", "text_crc32", "g", nonneg_bits(g64, 52, 12).alias("b1"), nonneg_bits(F.col("h"), 60, 4).alias("b2"), F.pmod("h", F.lit(shards)).cast("int").alias("label"))
-    alone = nodes.groupBy(F.hex("g").alias("gx")).agg((F.count(F.lit(1)) == 1).cast("int").alias("alone"))
-    nodes = nodes.join(alone, F.col("g") == F.unhex("gx")).drop("gx")
-    labelled = propagate(materialize(nodes, "shard-nodes"), shards, max_rounds)
+    nodes = materialize(nodes.select("*", F.pmod("h", F.lit(shards)).cast("int").alias("label")), "shard-nodes")
+    labelled = propagate(materialize(bucketed(nodes), "shard-nodes"), shards, max_rounds)
     load = _loads(labelled, shards)
     total = sum(load)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
