@@ -110,12 +110,13 @@ with d as (select row_number() over () k, doc_id, coalesce(text, '') t, source f
 base as ({" union all ".join(_matches(i + 1, n) for i, n in enumerate(("assign", "access", "hex")))}),
 free as (select * from {_matches(4, "opaque")} x where not exists (select 1 from base y where y.k = x.k and y.st < x.en and x.st < y.en)),
 every as (select * from base union all select * from free),
-own as (select v, count(distinct coalesce('=' || source, '?')) owners from every join d using (k) group by v),
-kept as (select every.*, owners from every join own using (v)),
+own as (select v, count(distinct coalesce('=' || source, '?')) owners, count(distinct coalesce('=' || doc_id, '?')) repos from every join d using (k) group by v),
+kept as (select every.*, owners, repos, owners <= 1 and repos <= 10 live from every join own using (v)),
 b as (select k, count(*) filter (where kind = 1) n_assign, count(*) filter (where kind = 2) n_access, count(*) filter (where kind = 3) n_hex, {_JOINED} js from base group by k),
-a as (select k, {_JOINED} filter (where kind < 4 or owners = 1) js, count(*) filter (where owners = 1) n_live, count(*) filter (where owners > 1) n_example from kept group by k)
+a as (select k, {_JOINED} filter (where kind < 4 or live) js, count(*) filter (where live) n_live, count(*) filter (where owners >= 2 or repos >= 11) n_example, max(owners) max_owners, max(repos) max_repos from kept group by k)
 select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
-  sha256(coalesce(b.js, '')) base_sha256, coalesce(a.js, '') spans, coalesce(n_live, 0)::bigint n_live, coalesce(n_example, 0)::bigint n_example
+  sha256(coalesce(b.js, '')) base_sha256, coalesce(a.js, '') spans, coalesce(n_live, 0)::bigint n_live, coalesce(n_example, 0)::bigint n_example,
+  coalesce(max_owners, 0)::bigint max_owners, coalesce(max_repos, 0)::bigint max_repos
 from d left join b using (k) left join a using (k)"""
 
 ORACLES = {"op1_warc": OP1, "op2_minhash": OP2, "op3_chat_format": OP3, "op4_suffix_passages": OP4, "op6_mixing": OP6, "op8_secrets": OP8}

@@ -68,10 +68,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the documents have no repositories, and the SQL of this query counts owners alone
-    found = secrets.scan(table(spark, sf_dir, "documents"), repo=None)
+    # a document is a repository of its own, its source the owner
+    found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_live", "n_example")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"), "n_live", "n_example", "max_owners", "max_repos")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ counted over distinct repositories and distinct owners: a value of many owners o
 repositories is a widely copied example, one that few of both have looks live. High-entropy
 strings of no known kind are added as spans of kind ``opaque`` only if they look live.
 
-Odd cases: a null text is empty; a null owner is an owner of its own; rows that share doc_id
-and text share one result; a row without matches has empty spans; an empty table gives no rows.
+Odd cases: a null text is empty; a null owner is an owner of its own, a null repository too; rows
+that share doc_id and text, repeated rows among them, share one result; a row without matches has
+empty spans; texts of any length are scanned whole; an empty table gives no rows; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,8 +50,9 @@ def spans_of(kind: str) -> Column:
 
 
 def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: str | None = "doc_id", max_owners: int = 1, example_owners: int = 2, max_repos: int = 10, example_repos: int = 11) -> DataFrame:
-    """Per row: doc_id, ``base`` and ``spans`` arrays sorted by start and kind, n_live, n_example.
+    """Per row: doc_id, ``base`` and ``spans`` arrays sorted by start and kind, n_live, n_example, and the most owners and repositories that one of its values has.
 
+    Documents are their own repositories unless another column says which they come from.
     Without ``repo`` owners decide alone. A null repository is one of its own.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -65,21 +68,24 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repo: st
     value = F.unhex(F.col("s")["value"])
     owners = found.select(value.alias("v"), "owner").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("owners"))
     live, example = F.col("owners") <= max_owners, F.col("owners") >= example_owners
+    owners = owners.withColumn("repos", F.lit(0).cast("long")) if not repo else owners
     if repo:
         repos = found.select(value.alias("v"), "repo").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("repos"))
         owners = owners.join(repos, "v")
         live, example = live & (F.col("repos") <= max_repos), example | (F.col("repos") >= example_repos)
-    counts = owners.select(F.lower(F.hex("v")).alias("value"), live.alias("live"), example.alias("example"))
+    counts = owners.select(F.lower(F.hex("v")).alias("value"), live.alias("live"), example.alias("example"), "owners", "repos")
     # the join key differs from the grouping key, so that both sides are dealt anew and a hot value can be split
     judged = found.select("rk", "s", F.col("s")["value"].alias("value")).distinct().join(counts, "value")
     per_row = judged.groupBy("rk").agg(
         F.collect_list(F.when(F.col("live") & (F.col("s")["kind"] == KINDS.index("opaque")), F.col("s"))).alias("added"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum(F.col("example").cast("long")).alias("n_example"),
+        F.max("owners").alias("max_owners"),
+        F.max("repos").alias("max_repos"),
     )
     out = rows.join(per_row, "rk", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN))))
-    return out.select("doc_id", "base", spans.alias("spans"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example")))
+    return out.select("doc_id", "base", spans.alias("spans"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "max_owners", "max_repos")))
 
 
 def joined(spans: str) -> Column:
