@@ -226,6 +226,21 @@ def test_passages_around_a_hot_run(spark, batch):
     assert got == want
 
 
+def test_passages_across_many_partitions(spark, monkeypatch):
+    """Edges are compared level by level, whatever fits a task."""
+    phrase = " ".join(f"p{i}" for i in range(60))
+    texts = [f"a{i} b{i} {phrase} c{i}" for i in range(300)] + [" ".join(f"x{k}_{i // 2}" for k in range(55)) for i in range(200)] + [" ".join(f"y{i}_{k}" for k in range(70)) for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    monkeypatch.setattr(passages, "EDGES", 100)
+    try:
+        got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.repeated_passages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+    assert got == {(i, 2, 62) for i in range(300)} | {(300 + i, 0, 55) for i in range(200)}
+
+
 def test_passage_inside_other_text(spark):
     shared = " ".join(f"s{i}" for i in range(70))
     texts = [" ".join(f"{c}{i}" for i in range(90)) + " " + shared + " " + " ".join(f"{c}y{i}" for i in range(40)) for c in "abcde"] + [" ".join(f"z{i}" for i in range(300))]
@@ -451,6 +466,39 @@ def test_secrets_of_many_repositories(spark):
     assert alone == {i: (1, 1, 0) if i < 100 else (2, 2, 0) for i, *_ in rows}
 
 
+def test_secrets_in_odd_tables(spark):
+    """An empty table, a very long text, clashing columns and a null id."""
+    token = "AKIA" + "Z9" * 8
+    long = ("word " * 200 + token + " ") * 500
+    df = spark.createDataFrame([(1, long, "s", "x", 5, 3), (None, None, None, None, None, None), (2, token, "s", None, 1, 1)], "doc_id long, text string, source string, spans string, owners int, rk int")
+    got = {r["doc_id"]: r for r in secrets.scan(df).collect()}
+    size = len("word " * 200 + token + " ")
+    assert [(s["start"], s["end"]) for s in got[1]["base"]] == [(k * size + 1000, k * size + 1000 + len(token)) for k in range(500)]
+    assert got[None]["base"] == [] and got[2]["n_live"] == 1 and (got[2]["max_owners"], got[2]["max_repos"], got[None]["max_repos"]) == (1, 2, 0)
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_chat_of_great_length(spark):
+    """Twenty thousand turns and a text of millions of characters, beside clashing columns."""
+    rows = [(1, k, ("user", "assistant", "assistant")[k % 3], f"~{k}", "f", 1) for k in range(20_000)] + [(2, 0, "assistant", "é<|end|>" * 300_000, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, blocks int").repartition(3)
+    got = {r["conv_id"]: r for r in chat.parse_chats(chat.format_chats(df)).collect()}
+    assert [tuple(t) for t in got[1]["turns"]] == [(r[2], r[3]) for r in rows[:-1]] and got[1]["loss_texts"] == [r[3] for r in rows[:-1] if r[2] == "assistant"]
+    assert got[2]["loss_texts"] == [rows[-1][3]] and got[2]["turns"][0]["text"] == rows[-1][3]
+
+
+def test_release(spark):
+    import os
+
+    from codelode.llm import common
+
+    kept, gone = common.materialize(spark.range(3), "keep-this"), common.materialize(spark.range(3), "other")
+    place = gone.inputFiles()[0].removeprefix("file://")
+    common.release(spark, keep=("keep-",))
+    assert kept.count() == 3 and not os.path.exists(place)
+    common.release(spark)
+
+
 def test_sharding(spark, docs):
     got = sharding.shard(docs).collect()
     by = {}
@@ -464,6 +512,53 @@ def test_sharding(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0 and sharding.shard(docs.limit(3)).count() == 3
 
 
+def test_sharding_against_plain_python(spark):
+    """Labels after propagation equal those of the same rule in plain loops."""
+    rows = [(i, f"t{i * i % 37}" if i % 3 else f"alone{i}", None) for i in range(500)] + [(1000 + i, "hot", None) for i in range(260)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    shards, slack, credits = 7, 0.1, 3
+    nodes = df.selectExpr("doc_id", "unhex(md5(text)) g", "xxhash64(doc_id) h", "cast(pmod(xxhash64(doc_id), 7) as int) label")
+    nodes = sharding.materialize(sharding.bucketed(nodes), "test")
+    assert nodes.where("b2 > 0").count() == 0 or nodes.groupBy("g").agg(F.max("b2").alias("b")).where("b > 1").count() == 0
+    got = {r["doc_id"]: r["label"] for r in sharding.propagate(nodes, shards).collect()}
+    turn = {(bytes(r["g"]), r["s"]): r["t"] for r in nodes.select("g").distinct().crossJoin(spark.range(shards).selectExpr("cast(id as int) s")).selectExpr("g", "s", "xxhash64(g, s) t").collect()}
+    here = [dict(r.asDict(), g=bytes(r["g"])) for r in nodes.collect()]
+    cap = -int(-len(here) * (1 + slack) // shards)
+    for _ in range(500):
+        load = collections.Counter(r["label"] for r in here)
+        seats = collections.Counter((r["g"], r["label"]) for r in here)
+        queue = {}
+        for r in here:
+            own = {s: n for (g, s), n in seats.items() if g == r["g"]}
+            open_ = [(n, turn[r["g"], s], s) for s, n in own.items() if load[s] < cap]
+            if len(own) > 1 and open_:
+                n, t, s = max(open_)
+                mine = own[r["label"]]
+                if s != r["label"] and (n > mine or n == mine and (t > turn[r["g"], r["label"]] or load[r["label"]] >= cap)):
+                    queue.setdefault(s, []).append(r)
+        if not queue:
+            break
+        for q in queue.values():
+            q.sort(key=lambda r: (r["b1"], r["b2"], r["g"], r["doc_id"]))
+        room, gone = {s: max(0, cap - load[s]) for s in range(shards)}, collections.Counter()
+        for _ in range(credits):
+            gone = collections.Counter(r["label"] for s, q in queue.items() for r in q[: max(0, cap - load[s] + gone[s])])
+        moves = [(r, s) for s, q in queue.items() for r in q[: max(0, cap - load[s] + gone[s])]]
+        for r, s in moves:
+            r["label"] = s
+    assert got == {r["doc_id"]: r["label"] for r in here} and room
+
+
+def test_sharding_deals_a_hot_group_over_buckets(spark):
+    df = spark.createDataFrame([(i, "hot" if i < 4000 else f"t{i}") for i in range(6000)], "doc_id long, text string")
+    nodes = sharding.bucketed(df.selectExpr("doc_id", "unhex(md5(text)) g", "xxhash64(doc_id) h"))
+    sizes = [r["count"] for r in nodes.where("alone = 0").groupBy("b1", "b2").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 400 and nodes.where("alone = 1").agg(F.max("b2")).first()[0] == 0
+    got = sharding.shard(df).collect()
+    counts = collections.Counter(r["shard"] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == 6000
+
+
 def test_sharding_keeps_groups(spark):
     df = spark.createDataFrame([(i, f"t{i // 4}" if i < 400 else f"alone{i}") for i in range(2400)], "doc_id long, text string").coalesce(2)
     shards = {}
@@ -809,6 +904,31 @@ def test_decontamination_against_brute_force(spark):
     assert got == want and want
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, a very long text, clashing columns, an empty table: stage by stage."""
+    import corpus_pipeline as cp
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1, "k") for r in base]
+    long = " ".join(r["text"] for r in base) * 3
+    rows += [(None, None, None, None, None, None, None), (7001, "", "en", None, 0, 1, "k"), (7002, None, "en", "s", None, 2, None), (None, base[0]["text"], None, "s", 1, 1, "k")]
+    rows += [(7003, long, "en", None, 1, 1, "k")] + [(7004, base[5]["text"] + " and so on", "en", "s", 1, 1, "k")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long, _k string")
+    here = docs
+    for k, (name, stage) in enumerate(cp.STAGES):
+        before, here = here, cp.materialize(stage(spark, here, SF), "test")
+        if k < 4:
+            assert here.columns == cp.COLUMNS, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        got = collections.Counter((r["doc_id"], r["text"]) for r in here.collect()) if k < 4 else None
+        if name == "language":
+            assert got[None, None] == got[7001, ""] == got[7002, None] == 0 and got[None, base[0]["text"]] == 1 and got[7003, long] == 1 and got[7004, rows[-1][1]] == 2
+        if name == "dedup":
+            assert got[None, base[0]["text"]] == 1 and got[7003, long] == 1 and sum(n for (i, _), n in got.items() if i == 7004) <= 1
+        if name == "shard":
+            assert here.count() == before.count()
+
+
 def test_pipeline_rows_that_share_an_id(spark):
     import corpus_pipeline as cp
 
