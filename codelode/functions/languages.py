@@ -23,3 +23,12 @@ def language_of(path) -> Column:
 
 def is_supported(path) -> Column:
     return language_of(path) != "unknown"
+
+
+LANGUAGES = tuple(dict.fromkeys(language for _, language in SUFFIXES))
+
+
+def display_name(language) -> Column:
+    """The name to show for a language: its own if it is supported, else ``unknown``."""
+    name = F.col(language) if isinstance(language, str) else language
+    return F.when(name.isin(*LANGUAGES), name).otherwise("unknown")

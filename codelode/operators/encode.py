@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.functions.hypervectors import atom_seed, bind, bundle, from_seed, majority, role_vector
+from codelode.functions.hypervectors import atom_seed, bind, encoded, expand, from_seed, majority, role_vector, role_words, seed_of
 from codelode.functions.shipping import ship
 from codelode.functions.text import ascii_lower, split_identifier, vector_tokens
 
@@ -14,17 +14,21 @@ from codelode.functions.text import ascii_lower, split_identifier, vector_tokens
 KIND_WORDS = {**dict.fromkeys(("function", "fn", "def", "func"), "fn"), **dict.fromkeys(("type", "struct", "class", "interface", "enum"), "type"), **dict.fromkeys(("import", "require", "use"), "import")}
 
 
-def components(units: DataFrame, key="unit_id") -> DataFrame:
-    """(key, role, token) of each unit, a multiset; role null is a bare atom."""
+def parts() -> Column:
+    """The components of a unit as an array of (role, token), a multiset; role null is a bare atom."""
     pair = lambda role, token: F.struct(F.lit(role).cast("string").alias("role"), token.alias("token"))
     each = lambda role, tokens: F.transform(tokens, lambda t: pair(role, t))
-    parts = F.concat(
+    return F.concat(
         F.array(pair("kind", F.col("kind")), pair("name", F.col("name")), pair("module", F.col("module_name"))),
         each("name", F.transform(split_identifier(F.col("name")), ascii_lower)),
         each("file", split_identifier(F.col("file_path"))),
         each(None, vector_tokens(F.col("signature"))),
     )
-    return units.select(key, F.explode(parts).alias("p")).select(key, "p.role", "p.token")
+
+
+def components(units: DataFrame, key="unit_id") -> DataFrame:
+    """(key, role, token), a row for each component."""
+    return units.select(key, F.explode(parts()).alias("p")).select(key, "p.role", "p.token")
 
 
 def atoms(tokens: DataFrame) -> DataFrame:
@@ -35,10 +39,10 @@ def atoms(tokens: DataFrame) -> DataFrame:
 
 
 def encode_units(units: DataFrame, key="unit_id") -> DataFrame:
-    """(key, vector): majority over a unit's components."""
-    parts = components(units, key)
-    joined = parts.join(atoms(parts).withColumnRenamed("role", "_r").withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & F.col("role").eqNullSafe(F.col("_r")))
-    return bundle(joined, key)
+    """(key, vector): majority over a unit's components, in the unit's own row: a seed is expanded where it is needed, and no vector is shuffled."""
+    ship(units.sparkSession)
+    seeded = F.transform(parts(), lambda p: F.struct(p["role"].alias("role"), atom_seed(p["token"]).alias("seed")))
+    return units.select(key, encoded(seeded).alias("vector"))
 
 
 def encode_query(spark: SparkSession, text: str) -> list[int]:
@@ -47,8 +51,8 @@ def encode_query(spark: SparkSession, text: str) -> list[int]:
     wanted = [(None, t) for t in tokens]
     for t in tokens:
         wanted += [("kind", KIND_WORDS[t])] if t in KIND_WORDS else [("name", t), ("module", t)]
-    if not wanted:
-        return majority(np.empty((0, 157), np.uint64)).view(np.int64).tolist()
-    rows = spark.createDataFrame(wanted, "role string, token string")
-    found = {(r["role"], r["token"]): r["vector"] for r in atoms(rows).collect()}
-    return majority(np.array([found[w] for w in wanted], np.int64).view(np.uint64)).view(np.int64).tolist()
+    v = expand(np.array([seed_of(t) for _, t in wanted], np.uint64))
+    for k, (role, _) in enumerate(wanted):
+        if role:
+            v[k] ^= np.array(role_words(role), np.int64).view(np.uint64)
+    return majority(v).view(np.int64).tolist()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codelode.functions.tables import materialize
+
 
 def definitions(units: DataFrame) -> DataFrame:
     return units.where("kind in ('fn', 'type')").select("name", "kind", "file_path", "line_number", "signature")
@@ -40,17 +42,19 @@ def impact(defs: DataFrame, refs: DataFrame, symbol: str, max_depth: int = 2) ->
     """(name, file_path, line_number, kind, depth, confidence) of what depends on a symbol, breadth first.
 
     Each level joins the frontier's names with the references and the definitions of the
-    referring files and leaves out what was seen, until a level is empty.
+    referring files and leaves out what was seen, until a level is empty. Levels are written.
     """
     depth = max_depth if 1 <= max_depth <= 10 else 2
     own = defs.select("name", "file_path", "line_number", "kind")
     nodes = own.withColumn("_n", F.row_number().over(Window.partitionBy("name", "file_path").orderBy("line_number"))).where("_n = 1").drop("_n")
-    seen = nodes.where(F.col("name") == symbol).withColumn("depth", F.lit(0)).persist()
+    nodes = materialize(nodes, "impact-nodes")
+    seen = materialize(nodes.where(F.col("name") == symbol).withColumn("depth", F.lit(0)), "impact-level")
     frontier = seen
-    edges = refs.select("def_name", F.col("file_path").alias("_f")).distinct()
+    edges = materialize(refs.select("def_name", F.col("file_path").alias("_f")).distinct(), "impact-edges")
     for d in range(1, depth + 1):
         reached = frontier.select(F.col("name").alias("def_name")).distinct().join(edges, "def_name").select(F.col("_f").alias("file_path")).distinct()
-        level = nodes.join(reached, "file_path").join(seen, ["name", "file_path"], "left_anti").select("name", "file_path", "line_number", "kind", F.lit(d).alias("depth")).persist()
+        level = nodes.join(reached, "file_path").join(seen, ["name", "file_path"], "left_anti").select("name", "file_path", "line_number", "kind", F.lit(d).alias("depth"))
+        level = materialize(level, "impact-level")
         if not level.limit(1).count():
             break
         seen, frontier = seen.unionByName(level), level

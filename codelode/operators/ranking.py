@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codelode.functions.hypervectors import distance, similarity
-from codelode.functions.text import search_tokens
+from codelode.functions.tables import materialize, parts_of
+from codelode.functions.text import search_term, search_tokens
 
 K1, B, FUSION_K = 1.2, 0.75, 60
 
@@ -17,9 +20,16 @@ def document_text(name="name", module="module_name", signature="signature") -> C
 
 
 def postings(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, term, tf, dl): one shuffle of partial counts; dl rides along so that scoring needs no second pass."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), search_tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
-    return tokens.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
+    """(doc_id, term, tf, dl).
+
+    Texts are dealt out by document before the tokeniser, as a few large files leave it little
+    to share, and that one shuffle also brings the tokens of a document together for the count.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_x")).repartition(parts_of(docs.sparkSession), "doc_id")
+    tokens = rows.select("doc_id", search_tokens(F.col("_x")).alias("_t")).withColumn("dl", F.size("_t").cast("long"))
+    # an inner explode would be given a filter on the size of its array, and so run the tokeniser once more, before the texts are dealt out
+    terms = tokens.select("doc_id", "dl", F.explode_outer("_t").alias("term")).where("term is not null").withColumn("term", search_term(F.col("term")))
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -28,36 +38,58 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text="text") -> DataFrame:
     """One row: n_docs, total_dl, avgdl."""
-    dl = F.size(search_tokens(F.coalesce(F.col(text), F.lit(""))))
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(dl), F.lit(0)).alias("total_dl")).withColumn("avgdl", F.col("total_dl") / F.when(F.col("n_docs") > 0, F.col("n_docs")))
-
-
-def bm25(docs: DataFrame, query: str, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, score) of documents that share a term with the query; a term repeated in the query counts as often.
-
-    Only the query's terms leave the tokeniser: each document is reduced in its own row to the
-    counts of those terms, so that nothing but a few rows per hit is shuffled.
-    """
-    spark = docs.sparkSession
-    row = spark.range(1).select(search_tokens(F.lit(query)).alias("q")).first()
+    return corpus_totals(docs, text).withColumn("avgdl", F.col("total_dl") / F.when(F.col("n_docs") > 0, F.col("n_docs")))
+
+
+def corpus_totals(docs: DataFrame, text="text") -> DataFrame:
+    """One row: n_docs, total_dl; documents without a token count as well."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_x")).repartition(parts_of(docs.sparkSession))
+    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(search_tokens(F.col("_x")))), F.lit(0)).cast("long").alias("total_dl"))
+
+
+@dataclass
+class Postings:
+    """A written index: postings sorted by term, so that a query reads the row groups of its terms only, and the corpus totals."""
+
+    terms: DataFrame
+    n_docs: int
+    total_dl: int
+
+    @classmethod
+    def build(cls, docs: DataFrame, doc_id="doc_id", text="text") -> Postings:
+        """One pass of the tokeniser. Range partitions by term and id, so that a frequent term is spread over several."""
+        spark = docs.sparkSession
+        counted = materialize(postings(docs, doc_id, text), "postings-by-doc")
+        own = counted.select("doc_id", "dl").distinct().agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()["t"]
+        dealt = counted.repartitionByRange(parts_of(spark), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return cls(materialize(dealt, "postings"), docs.count(), int(own))
+
+    def scores(self, query: str) -> DataFrame:
+        """(doc_id, score) of documents that share a term with the query; a term repeated in the query counts as often."""
+        weights = query_terms(self.terms.sparkSession, query)
+        hits = self.terms.where(F.col("term").isin(list(weights)))
+        # a row for each query term, by an aggregate of the same few row groups
+        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df_n"))
+        repeats = F.create_map(*(x for t, n in weights.items() for x in (F.lit(t), F.lit(n)))) if weights else F.create_map(F.lit(""), F.lit(0))
+        scored = hits.join(F.broadcast(df), "term")
+        idf = F.log((self.n_docs - F.col("df_n") + 0.5) / (F.col("df_n") + 0.5) + 1)
+        average = self.total_dl / max(1, self.n_docs)
+        part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+        return scored.groupBy("doc_id").agg(F.sum(part * repeats[F.col("term")]).alias("score"))
+
+
+def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
+    """The terms of a query, with how often each is there."""
+    row = spark.range(1).select(F.transform(search_tokens(F.lit(query)), search_term).alias("q")).first()
     weights: dict[str, int] = {}
     for t in row["q"]:
         weights[t] = weights.get(t, 0) + 1
-    empty = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).where("false")
-    if not weights:
-        return empty
-    tokens = search_tokens(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("_t")).withColumn("dl", F.size("_t"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_dl"))
-    wanted = F.array(*map(F.lit, weights))
-    hits = rows.select("doc_id", "dl", F.explode(F.filter("_t", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df_n"))
-    repeats = F.create_map(*(x for t, n in weights.items() for x in (F.lit(t), F.lit(n))))
-    # df has a row for each query term, stats has one row
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df_n") + 0.5) / (F.col("df_n") + 0.5) + 1)
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (F.col("total_dl") / F.col("n_docs"))))
-    return scored.groupBy("doc_id").agg(F.sum(part * repeats[F.col("term")]).alias("score"))
+    return weights
+
+
+def bm25(docs: DataFrame, query: str, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, score) for a single query over ``docs``; several queries go faster over one ``Postings``."""
+    return Postings.build(docs, doc_id, text).scores(query)
 
 
 def top(scores: DataFrame, k: int, by="score", key="doc_id", descending=True) -> DataFrame:

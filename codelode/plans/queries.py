@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import hypervectors as hv
-from codelode.functions.languages import language_of
-from codelode.functions.text import module_name, search_tokens, split_identifier, token_estimate, vector_tokens
-from codelode.operators import changes, clusters, encode, extract, graph, outline, ranking, refresh
-from codelode.plans import render
+from codelode.functions.text import search_tokens, split_identifier, vector_tokens
+from codelode.operators import changes, clusters, graph, ranking, refresh
 from codelode.sources.files import glob_match, is_ignored
 from codelode.streaming.refresh import windowed_counts
 
@@ -83,14 +81,25 @@ def bm25_tokens(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+_indexes: dict[tuple[str, str], ranking.Postings] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> ranking.Postings:
+    """The written postings of the documents, built by the first query that asks in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = ranking.Postings.build(table(spark, sf_dir, "documents"))
+    return _indexes[key]
+
+
 @query(f"with {TOKENS} select doc_id, term, count(*)::bigint tf from tok group by all")
 def bm25_tf(spark, sf_dir):
-    return ranking.postings(table(spark, sf_dir, "documents")).drop("dl")
+    return indexed(spark, sf_dir).terms.drop("dl")
 
 
 @query(f"with {TOKENS} select term, count(distinct doc_id)::bigint df_n from tok group by all")
 def bm25_df(spark, sf_dir):
-    return ranking.document_frequency(ranking.postings(table(spark, sf_dir, "documents")))
+    return ranking.document_frequency(indexed(spark, sf_dir).terms)
 
 
 @query(f"with {TOKENS} select (select count(*) from documents)::bigint n_docs, count(*)::bigint total_dl, round(count(*) / (select count(*) from documents), 6) avgdl from tok")
@@ -106,23 +115,24 @@ sc as (select doc_id, sum(w * ln((n_docs - df_n + 0.5) / (df_n + 0.5) + 1) * (tf
 
 @query(f"with {TOKENS}, {bm25_sql('thereat ering thention ores', 10)} select doc_id, round(score, 6) score from sc")
 def bm25_topk(spark, sf_dir):
-    return ranking.top(ranking.bm25(table(spark, sf_dir, "documents"), TERMS.lower()), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.top(indexed(spark, sf_dir).scores(TERMS), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
-def _fusion_oracle() -> str:
-    first, second = bm25_sql(TERMS.lower(), 40), bm25_sql(TERMS_2, 40)
-    rename = lambda s, n: s.replace("st as", f"st{n} as").replace(", st group", f", st{n} group").replace("dl as", f"dl{n} as").replace("join dl ", f"join dl{n} ").replace("q as", f"q{n} as").replace("from q)", f"from q{n})").replace("join q ", f"join q{n} ").replace("tf as", f"tf{n} as").replace("from tf ", f"from tf{n} ").replace("df as", f"df{n} as").replace("join df ", f"join df{n} ").replace("sc as", f"sc{n} as")
-    ranks = ", ".join(f"r{n} as (select doc_id, row_number() over (order by score desc, doc_id) rk from sc{n})" for n in (1, 2))
-    return f"""with {TOKENS}, {rename(first, 1)}, {rename(second, 2)}, {ranks}
-select coalesce(r1.doc_id, r2.doc_id) doc_id, coalesce(r1.rk, 0)::int bm25_rank, coalesce(r2.rk, 0)::int hdc_rank, round(coalesce(1.0::double / (60 + r1.rk), 0) + coalesce(1.0::double / (60 + r2.rk), 0), 9) score
-from r1 full join r2 using (doc_id) order by coalesce(1.0::double / (60 + r1.rk), 0) + coalesce(1.0::double / (60 + r2.rk), 0) desc, doc_id limit 20"""
+def two_rankings_sql(k: int) -> str:
+    """Two BM25 rankings, each in a subquery of its own, and their fusion."""
+    ranked = lambda n, terms: f"r{n} as (with {bm25_sql(terms, 40)} select doc_id, row_number() over (order by score desc, doc_id) rk from sc)"
+    share = "coalesce(1.0::double / (60 + r1.rk), 0) + coalesce(1.0::double / (60 + r2.rk), 0)"
+    return f"""with {TOKENS}, {ranked(1, TERMS.lower())}, {ranked(2, TERMS_2)}
+select coalesce(r1.doc_id, r2.doc_id) doc_id, coalesce(r1.rk, 0)::int first_rank, coalesce(r2.rk, 0)::int second_rank, round({share}, 9) score
+from r1 full join r2 using (doc_id) order by {share} desc, doc_id limit {k}"""
 
 
-@query(_fusion_oracle())
-def rrf_hybrid(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    lists = [ranking.ranked(ranking.top(ranking.bm25(docs, t), 40)) for t in (TERMS.lower(), TERMS_2)]
-    return ranking.fuse(*lists, 20).select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "hdc_rank")), F.round("score", 9).alias("score"))
+@query(two_rankings_sql(20))
+def rrf_two_queries(spark, sf_dir):
+    """Fusion of the rankings of two queries."""
+    lists = [ranking.ranked(ranking.top(indexed(spark, sf_dir).scores(t), 40)) for t in (TERMS, TERMS_2)]
+    fused = ranking.fuse(*lists, 20, names=("first_rank", "second_rank"))
+    return fused.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("first_rank", "second_rank")), F.round("score", 9).alias("score"))
 
 
 # ---- vectors
@@ -142,15 +152,6 @@ def hv_bind(spark, sf_dir):
     return v.select("vec_id", hv.bind("w", key)[0].alias("bound"))
 
 
-@query(f"""with {SIGNS}, bits as (select label, i, sum(case when (w >> i) & 1 = 1 then 1 else -1 end) s from sg, range(0, 64) r(i) group by all)
-select label, list_reduce(list(case when s > 0 then (case when i = 63 then (-9223372036854775808)::bigint else (1::bigint << i::int) end) else 0::bigint end), lambda a, b: a | b) majority from bits group by all""")
-def hv_bundle(spark, sf_dir):
-    """Majority of the sign bits of each label, by counters alone."""
-    bits = signs(spark, sf_dir).select("label", F.col("w")[0].alias("w"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    one = F.call_function("shiftright", F.col("w"), F.col("i")).bitwiseAND(1) == 1
-    won = bits.groupBy("label", "i").agg(F.sum(F.when(one, 1).otherwise(-1)).alias("s"))
-    return won.groupBy("label").agg(F.bit_or(F.when(F.col("s") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).otherwise(F.lit(0).cast("long"))).alias("majority"))
-
 
 WIDEST = 18
 
@@ -184,10 +185,6 @@ def cluster_labels(spark, sf_dir):
     return clusters.labels(_clustered(spark, sf_dir).join(names, "vec_id"))
 
 
-@query("select term, ('0x' || substr(md5(term), 1, 15))::bigint seed from (select distinct p_name term from part)")
-def atoms_md5(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct().select("term", F.conv(F.substr(F.md5("term"), F.lit(1), F.lit(15)), 16, 10).cast("long").alias("seed"))
-
 
 # ---- code
 
@@ -200,49 +197,18 @@ FILES = [
     ("app/thing.rb", "ruby", "require 'set'\nmodule Things\n  class Thing\n    attr_reader :size\n    def grow\n      @size = 1\n    end\n  end\nend\n"),
     ("src/main.zig", "zig", "const std = @import(\"std\");\npub const Kind = enum {\n    small,\n    large,\n};\npub fn run() void {\n    var n: u32 = 1;\n}\n"),
     ("src/Box.java", "java", "import java.util.List;\npublic class Box {\n    private int size;\n    public int grow(int by) {\n        return size;\n    }\n}\n"),
+    ("web/util.js", "javascript", "import fs from 'fs';\nexport class Cache {\n  size: number = 1;\n}\nasync function load(key) {\n  let n = 1;\n}\n"),
+    ("src/Store.cs", "csharp", "using System;\npublic class Store {\n    private int count;\n    public override void Add(int n) {\n        if (n) Count(n);\n    }\n}\n"),
+    ("src/math.fs", "fsharp", "open System\ntype Point = { X: int }\nlet area w h =\n    w * h\n"),
+    ("src/tree.cpp", "cpp", "#include <vector>\nclass Tree {\n    int depth;\n};\nint walk(Tree *t) {\n    int n = size(t);\n    return 0;\n}\n"),
     ("src/list.c", "c", "#include <stdio.h>\nstruct node {\n    int value;\n};\nstatic int push(int v) {\n    if (v) return 1;\n    return 0;\n}\n"),
 ]
-SIMPLE = ("python", "go", "rust", "typescript", "ruby")
-
-
-def files(spark: SparkSession, langs=None) -> DataFrame:
-    return values(spark, "file_path string, lang string, source string", [f for f in FILES if langs is None or f[1] in langs])
-
-
-def units_sql() -> str:
-    kinds = {"fn": extract.FUNCTIONS, "type": extract.TYPES, "import": extract.IMPORTS}
-    case = lambda words: "case lang " + " ".join(f"when '{g}' then nullif(regexp_extract(bare, '^(?:{'|'.join(words[g])})[^A-Za-z0-9_]*([A-Za-z0-9_]+)', 1), '')" for g in SIMPLE) + " end"
-    return f"""with src as (select file_path, lang, string_split(source, chr(10)) ls from {sql_values(['file_path', 'lang', 'source'], [f for f in FILES if f[1] in SIMPLE]).replace(chr(10), "' || chr(10) || '")}),
-ln as (select file_path, lang, i::int line_number, trim(ls[i], ' ' || chr(9) || chr(13)) signature from src, unnest(range(1, len(ls) + 1)) r(i)), b as (select *, regexp_replace(signature, '{extract.STRIP}', '') bare from ln where signature <> ''),
-m as (select *, {case(kinds['fn'])} f, {case(kinds['type'])} ty, {case(kinds['import'])} im from b)
-select case when f is not null then 'fn' when ty is not null then 'type' else 'import' end kind, coalesce(f, ty, im) as name, signature, file_path, line_number, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '') module_name from m where coalesce(f, ty, im) is not null"""
-
-
-@query(units_sql())
-def units_extract(spark, sf_dir):
-    return extract.extract_units(files(spark, SIMPLE))
-
+MTIME = "2024-01-01 00:00:00"
 
-@query()
-def units_extract_all(spark, sf_dir):
-    return extract.extract_units(files(spark))
 
-
-@query()
-def ast_outline(spark, sf_dir):
-    return outline.outline(files(spark))
-
-
-@query()
-def encode_units(spark, sf_dir):
-    units = extract.extract_units(files(spark)).withColumn("unit_id", F.concat_ws(":", "file_path", "line_number"))
-    return encode.encode_units(units)
-
-
-@query()
-def encode_query(spark, sf_dir):
-    units = extract.extract_units(files(spark)).withColumn("unit_id", F.concat_ws(":", "file_path", "line_number"))
-    return ranking.nearest(encode.encode_units(units), encode.encode_query(spark, "auth handle function"), 5)
+def files(spark: SparkSession, rows=None) -> DataFrame:
+    """(file_path, lang, source, mtime) of the fixture project."""
+    return values(spark, "file_path string, lang string, source string", FILES if rows is None else rows).withColumn("mtime", F.lit(MTIME).cast("timestamp"))
 
 
 UNITS = [
@@ -261,23 +227,8 @@ def fixture_units(spark: SparkSession) -> DataFrame:
     return values(spark, UNIT_COLUMNS, UNITS)
 
 
-@query(f"with {REF_SQL} select def_name, import_name, file_path, line_number from rf")
-def refs_resolve(spark, sf_dir):
-    return graph.references(fixture_units(spark))
-
-
-@query(f"with {UNIT_SQL} select name, kind, file_path, line_number, signature from u where kind in ('fn', 'type')")
-def refs_defs(spark, sf_dir):
-    return graph.definitions(fixture_units(spark))
 
 
-@query(f"""with recursive {REF_SQL}, bfs(name, file_path, line_number, kind, depth) as (select name, file_path, line_number, kind, 0 from d where name = 'User'
-union select d.name, d.file_path, d.line_number, d.kind, b.depth + 1 from bfs b join rf on rf.def_name = b.name join d on d.file_path = rf.file_path where b.depth < 10)
-select name, file_path, any_value(line_number)::int line_number, any_value(kind) kind, min(depth)::int depth, round(1.0::double / (1 + min(depth)), 6) confidence from bfs group by 1, 2""")
-def impact_bfs(spark, sf_dir):
-    u = fixture_units(spark)
-    return graph.impact(graph.definitions(u), graph.references(u), "User", 10).withColumn("confidence", F.round("confidence", 6))
-
 
 @query(f"""with recursive e as (select distinct l_orderkey f, l_partkey n from lineitem where l_orderkey <> l_partkey), bfs(n, depth) as (select 1::bigint, 0 union select e.f, depth + 1 from bfs join e on e.n = bfs.n where depth < 3)
 select n as name, min(depth)::int depth from bfs group by 1""")
@@ -289,17 +240,6 @@ def impact_orders(spark, sf_dir):
     return graph.impact(defs, edges, 1, 3).select("name", "depth")
 
 
-@query(f"""with {REF_SQL}, o as (select * from d where name = 'handleAuth' order by file_path, line_number limit 1)
-select 'definition' section, name, kind, file_path, line_number, signature from o union all select 'referenced_by', import_name, 'import', file_path, line_number, null from rf where def_name = 'handleAuth'
-union all select 'references', rf.def_name, x.kind, x.file_path, x.line_number, x.signature from rf join o on rf.file_path = o.file_path left join (select *, row_number() over (partition by name order by file_path, line_number) k from d) x on x.name = rf.def_name and x.k = 1
-union all select 'siblings', d.name, d.kind, d.file_path, d.line_number, d.signature from d join o on d.file_path = o.file_path where d.name <> 'handleAuth'""")
-def context_symbol(spark, sf_dir):
-    return graph.context(fixture_units(spark), "handleAuth")
-
-
-@query(f"with {REF_SQL} select distinct def_name from rf where file_path = 'src/login.zig'")
-def refs_dependencies(spark, sf_dir):
-    return graph.dependencies_of(graph.references(fixture_units(spark)), "src/login.zig")
 
 
 DIFF = """diff --git a/src/auth.zig b/src/auth.zig
@@ -325,12 +265,6 @@ def diff_hunks(spark, sf_dir):
     return changes.parse_hunks(values(spark, "diff_id long, diff string", [(0, DIFF)])).drop("diff_id", "hunk_seq")
 
 
-@query(f"with {UNIT_SQL}, h as (select * from {sql_values(['k', 'f', 'os', 'oc', 'ns', 'nc'], HUNKS)}), " + """j as (select u.*, k, case when nc > 0 and line_number between ns and ns + nc - 1 then case when oc = 0 then 'added' else 'modified' end when nc = 0 then 'deleted' else 'modified' end c
-from u join h on f = file_path and ((nc > 0 and line_number between ns and ns + nc - 1) or (oc > 0 and line_number between os and os + oc - 1)))
-select name, kind, file_path, line_number, arg_min(c, k) as change from j group by all""")
-def changes_map(spark, sf_dir):
-    return changes.touched(changes.parse_hunks(values(spark, "diff_id long, diff string", [(0, DIFF)])), fixture_units(spark))
-
 
 @query("""with ln as (select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) line_number from documents), h as (select doc_id f, 1 + doc_id % 7 ns, 1 + doc_id % 3 nc, doc_id % 2 oc from documents)
 select doc_id::varchar file_path, line_number::int line_number, case when oc = 0 then 'added' else 'modified' end as change from ln join h on f = doc_id and line_number between ns and ns + nc - 1 group by all""")
@@ -358,15 +292,6 @@ def glob_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(glob_match(F.col("url"), "https://*/en/*")).select("page_id")
 
 
-@query(f"""select path, case when path like '%.zig' then 'zig' when path like '%.ts' then 'typescript' when path like '%.js' then 'javascript' when path like '%.py' then 'python' else 'unknown' end lang,
-regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') module_name from {sql_values(['path'], PATHS)}""")
-def lang_detect(spark, sf_dir):
-    return values(spark, "path string", PATHS).select("path", language_of("path").alias("lang"), module_name(F.col("path")).alias("module_name"))
-
-
-@query("select source, count(*)::bigint units, count(distinct lang)::bigint langs, sum(floor((strlen(text) + 3) / 4))::bigint tokens from documents group by all")
-def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("lang").alias("langs"), F.sum(token_estimate("text")).alias("tokens"))
 
 
 # ---- refresh
@@ -393,7 +318,3 @@ def stream_windows(spark, sf_dir):
     """The event-time aggregate of the streaming module on the whole table; tests run it as a stream."""
     return windowed_counts(table(spark, sf_dir, "events")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
-
-@query()
-def render_results(spark, sf_dir):
-    return render.results_table(extract.extract_units(files(spark)).withColumn("rank", F.concat_ws(":", "file_path", F.format_string("%05d", "line_number"))), "rank")

@@ -36,20 +36,21 @@ def results_table(units: DataFrame, order: str) -> DataFrame:
     return grouped.select("kind", "n", F.concat(label, F.lit("["), F.col("n").cast("string"), F.lit("]{name,signature,file,line}:\n"), "body").alias("text"))
 
 
-def outline(nodes: list[Row]) -> str:
-    """Nodes of each file under a header with path, language and count."""
-    files: dict = {}
-    for n in nodes:
-        files.setdefault((n["file_path"], n["lang"]), []).append(n)
-    out = ""
-    for (path, lang), own in sorted(files.items()):
-        out += f'file{{path:"{path}",lang:"{lang}",nodes:{len(own)}}}:\n'
-        out += "".join(f"{n['depth']},{n['kind']},{n['name']},{n['signature']},{n['line_number']}\n" for n in own)
-    return out
+def flat(ranked_units: list[Row]) -> str:
+    """One group in rank order, with the score to three places."""
+    return section("results", ["kind", "name", "signature", "file", "line", "similarity"], [(r["kind"], r["name"], r["signature"], r["file_path"], r["line_number"], float(r["score"])) for r in ranked_units])
+
+
+def outline_table(nodes: DataFrame) -> DataFrame:
+    """(file_path, lang, n, text): the nodes of each file in order under a header with path, language and count."""
+    line = F.concat_ws(",", F.col("depth").cast("string"), "kind", "name", "signature", F.col("line_number").cast("string"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("line_number", line.alias("l")))), lambda x: F.concat(x["l"], F.lit("\n")))
+    grouped = nodes.groupBy("file_path", "lang").agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "").alias("body"))
+    return grouped.select("file_path", "lang", "n", F.format_string('file{path:"%s",lang:"%s",nodes:%d}:\n%s', "file_path", "lang", "n", "body").alias("text"))
 
 
-def project_outline(root: str, nodes: list[Row]) -> str:
-    return f'ast{{root:"{root}",files:{len({n["file_path"] for n in nodes})},nodes:{len(nodes)}}}\n' + outline(nodes)
+def project_head(root: str, files: int, nodes: int) -> str:
+    return f'ast{{root:"{root}",files:{files},nodes:{nodes}}}\n'
 
 
 def refs(definitions: list[Row], references: list[Row]) -> str:
@@ -81,8 +82,9 @@ def changes(rows: list[Row]) -> str:
 
 
 def clusters(heads: list[Row], members: list[Row]) -> str:
-    text = section("clusters", ["id", "label", "size"], [(h["cluster_id"], h["label"], h["size"]) for h in heads])
+    text, by = section("clusters", ["id", "label", "size"], [(h["cluster_id"], h["label"], h["size"]) for h in heads]), {}
+    for m in members:
+        by.setdefault(m["cluster_id"], []).append((m["name"], m["kind"], m["file_path"], m["line_number"]))
     for h in heads:
-        own = [(m["name"], m["kind"], m["file_path"], m["line_number"]) for m in members if m["cluster_id"] == h["cluster_id"]]
-        text += "\n" + section(f"cluster_{h['cluster_id']}", ["name", "kind", "file", "line"], own)
+        text += "\n" + section(f"cluster_{h['cluster_id']}", ["name", "kind", "file", "line"], by.get(h["cluster_id"], []))
     return text

@@ -27,10 +27,15 @@ def test_vector_algebra(spark):
     m = hv.majority(v[:3])
     assert all(1 - 2 * np.bitwise_count(m ^ x).sum() / hv.DIMENSION > 0 for x in v[:3])
     assert (hv.majority(v[:1]) == v[0]).all() and not hv.majority(v[:0]).any()
-    assert (hv.rotate(hv.rotate(v, 7), -7) == v).all()
-    df = spark.createDataFrame([("a", x.view(np.int64).tolist()) for x in v] + [("b", v[0].view(np.int64).tolist())], "k string, vector array<bigint>")
+    many = hv.expand(np.arange(500, dtype=np.uint64))
+    rows = [("a", x) for x in v] + [("b", v[0])] + [("c", x) for x in many] + [("d", x) for x in many[:40]]
+    df = spark.createDataFrame([(k, x.view(np.int64).tolist()) for k, x in rows], "k string, vector array<bigint>").repartition(5)
+    turned = df.where("k = 'b'").select(hv.permute(hv.permute("vector", 7), 64 * hv.WORDS - 7).alias("back"), hv.permute("vector", 64).alias("word")).first()
+    assert turned["back"] == v[0].view(np.int64).tolist() and turned["word"][1:] == turned["back"][:-1] and turned["word"][0] == turned["back"][-1]
     got = {r["k"]: r["vector"] for r in hv.bundle(df, "k").collect()}
-    assert got["a"] == hv.majority(v).view(np.int64).tolist() and got["b"] == v[0].view(np.int64).tolist()
+    assert got["b"] == v[0].view(np.int64).tolist()
+    for k, own in (("a", v), ("c", many), ("d", many[:40])):
+        assert got[k] == hv.majority(own).view(np.int64).tolist(), k
     assert hv.widest_distance(0.1) == 4499 and 1 - 2 * hv.widest_distance(0.15) / 1e4 >= 0.15
 
 
@@ -127,6 +132,127 @@ def test_clusters_label(spark):
     assert got == {0: "auth-login-token", 1: "unnamed"}
 
 
+def test_similar_and_near_pairs(spark):
+    """Blocks of any size give all pairs; samples of bits find what lies near, copies once each."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2, (12, 64 * 4), dtype=np.uint8)
+    rows = []
+    for i in range(90):
+        x = base[i % 12].copy()
+        x[rng.choice(256, i % 20, replace=False)] ^= 1
+        rows.append(np.packbits(x, bitorder="little").view(np.int64))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "unit_id long, vector array<bigint>")
+    apart = lambda a, b: int(np.bitwise_count((rows[a] ^ rows[b]).view(np.uint64)).sum())
+    want = {(a, b, apart(a, b)) for a in range(90) for b in range(a + 1, 90) if apart(a, b) <= 40}
+    for block in (7, 4096):
+        assert {tuple(r) for r in clusters.similar_pairs(df, 40, block=block).collect()} == want
+    near = {tuple(r) for r in clusters.near_pairs(df, 40, bits=12, miss=1e-4).collect()}
+    first = [i for i in range(90) if not any(apart(i, j) == 0 for j in range(i))]
+    firsts = {(a, b, d) for a, b, d in want if a in first and b in first}
+    assert near <= want and len(near & firsts) >= 0.99 * len(firsts)
+    twice = df.unionByName(df.selectExpr("unit_id + 100 unit_id", "vector"))
+    assert {(a, b) for a, b, d in (tuple(r) for r in clusters.near_pairs(twice, 40, bits=12, miss=1e-4).collect()) if b >= 100 and d == 0} >= {(i, i + 100) for i in range(90) if not any(apart(i, j) == 0 for j in range(i))}
+    labels = [{(r["unit_id"], r["root"]) for r in clusters.connected(twice.select("unit_id"), pairs).collect()} for pairs in (clusters.similar_pairs(twice, 40), clusters.near_pairs(twice, 40, bits=12, miss=1e-4))]
+    assert labels[0] == labels[1]
+    assert clusters.tables_needed(0, 256, 12, 1e-3) == 1
+    try:
+        clusters.near_pairs(df, 120)
+        raise AssertionError
+    except ValueError as e:
+        assert "compare exactly" in str(e)
+
+
+def test_numbering_and_prefix_sums(spark):
+    from codelode.functions.tables import numbered, prefix_sums
+
+    rows = [(f"f{i % 17:02d}", i) for i in range(300)]
+    got = numbered(spark.createDataFrame(rows, "a string, b int"), ["a", "b"], "n").collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: (r["a"], r["b"]))] == list(range(300))
+    assert numbered(spark.createDataFrame([], "a string, b int"), ["a", "b"], "n").count() == 0
+    sums = prefix_sums(spark.createDataFrame([(0, b, o, 2) for b in range(3) for o in range(4)], "p int, b int, o int, v long"), ["p"], ["b"], ["o"], F.col("v"), "s").orderBy("b", "o").collect()
+    assert [r["s"] for r in sums] == list(range(0, 24, 2))
+
+
+def test_refresh_stays(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def one():\n    pass\n")
+    (tmp_path / "b.py").write_text("def two():\n    pass\n")
+    (tmp_path / "pyproject.toml").write_text("")
+    e = Engine.open(spark, str(tmp_path))
+    assert {r["name"] for r in e.units.collect()} == {"one", "two"} and e.search("one", 1, "bm25").first()["name"] == "one"
+    import os
+
+    (tmp_path / "a.py").write_text("def three():\n    pass\n")
+    os.utime(tmp_path / "a.py", (2e9, 2e9))
+    (tmp_path / "b.py").unlink()
+    (tmp_path / "c.py").write_text("def four():\n    pass\n")
+    assert e.refresh().first()["units"] == 2 and {r["name"] for r in e.units.collect()} == {"three", "four"}
+    assert e.search("three", 1, "bm25").first()["name"] == "three" and e.search("one", 5, "bm25").count() == 0
+
+
+def test_git_changes(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.py").write_text("def one():\n    pass\n\ndef two():\n    pass\n")
+    run("add", ".")
+    run("commit", "-qm", "x")
+    (tmp_path / "a.py").write_text("def one():\n    pass\n\ndef two(x):\n    pass\n")
+    found = Engine.open(spark, str(tmp_path)).changes()
+    assert [(r["name"], r["change"]) for r in found.collect()] == [("two", "modified")]
+
+
+def test_front_ends(spark, tmp_path):
+    import io
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from codelode import __main__ as main
+    from codelode.frontend import rpc, server
+    from codelode.plans.catalog import Catalog
+
+    (tmp_path / "Makefile").write_text("")
+    (tmp_path / "a.py").write_text("def handle_auth():\n    pass\n")
+    catalog = Catalog(spark)
+    d = rpc.Dispatcher(lambda cwd: catalog.project(cwd or str(tmp_path)))
+    asked = [{"id": 1, "method": "initialize"}, {"method": "initialized"}, {"id": 2, "method": "tools/call", "params": {"name": "query", "arguments": {"query": "handle auth", "top_k": 1}}}]
+    sink = io.BytesIO()
+    rpc.serve(d, io.BytesIO(b"".join(b"Content-Length: %d\r\n\r\n%s" % (len(json.dumps(m)), json.dumps(m).encode()) for m in asked)), sink)
+    sink.seek(0)
+    said = [json.loads(rpc.read_message(sink)) for _ in range(2)]
+    assert said[0]["result"]["protocolVersion"] == rpc.PROTOCOL and "handle_auth" in said[1]["result"]["content"][0]["text"] and rpc.read_message(sink) is None
+    assert len(json.loads(d.answer('{"id":1,"method":"tools/list"}'))["result"]["tools"]) == 9
+    for name, args in (("status", {}), ("ast", {"file": "a.py"}), ("clusters", {}), ("changes", {}), ("reindex", {}), ("context", {"symbol": "handle_auth"})):
+        got = json.loads(d.answer(json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": args}})))
+        assert "result" in got and "isError" not in got["result"], (name, got)
+    web = server.make_server(d)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    port = str(web.server_port)
+    for words, part in ((["query", "handle", "auth", "--dir", str(tmp_path)], "handle_auth"), (["status", "--dir", str(tmp_path)], "1 units"), (["reindex", "--dir", str(tmp_path)], "OK reindexed"), (["version"], "codelode")):
+        out = io.StringIO()
+        assert main.run([*words, "--port", port], out) == 0 and part in out.getvalue()
+    post = lambda path, body: urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}{path}", data=body))
+    assert json.loads(post("/mcp", b'{"id":1,"method":"ping"}').read())["result"] == {} and post("/mcp", b'{"method":"initialized"}').status == 204
+    for path, body, code in (("/query", b"{", 400), ("/query", b"{}", 400), ("/nope", b"{}", 404), ("/query", b"x" * (server.MAX_BODY + 1), 413)):
+        try:
+            post(path, body)
+            raise AssertionError
+        except urllib.error.HTTPError as e:
+            assert e.code == code
+    out = io.StringIO()
+    main.run(["stop", "--port", port], out)
+    assert "shutting down" in out.getvalue()
+
+
+def test_size_cap_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "small.py").write_text("def a():\n    pass\n")
+    (tmp_path / "large.py").write_text("#" * 300)
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    assert [r["file_path"] for r in scan_tree(spark, str(tmp_path), [], max_bytes=200).collect()] == ["small.py"]
+
+
 def test_stream_refresh(spark, tmp_path):
     src, out, ck = tmp_path / "in", tmp_path / "units", tmp_path / "ck"
     src.mkdir()
