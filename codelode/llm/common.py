@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from codelode.functions.shipping import ship
+from codelode.functions.tables import fresh_path, materialize, parts_of, prefix_sums, release, shared_dir
+
+__all__ = ["WORD", "fresh_path", "in_chunks", "map_arrow", "materialize", "nonneg_bits", "parts_of", "prefix_sums", "ready", "release", "shared_dir", "small", "table"]
 
 #: Java pattern of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-#: Paths of intermediate tables by application.
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    sc = spark.sparkContext
-    if base := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
-        return base
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="codelode-"))
-    return sc.getCheckpointDir()
 
 
 def ready(spark: SparkSession) -> None:
@@ -47,64 +33,16 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/codelode/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Remove the intermediate tables that this application has written, but for those whose label starts with one of ``keep``.
-
-    To be called once no DataFrame that reads them is needed any more: results are read lazily.
-    """
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        if path.rpartition("/")[2].startswith(keep):
-            _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-        else:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Mark a written table of narrow rows for broadcast if its counted size allows it."""
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def parts_of(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def nonneg_bits(key: Column, shift: int, bits: int) -> Column:
     """``bits`` bits of a 64-bit hash, from bit ``shift`` on."""
     return F.shiftrightunsigned(key, shift).bitwiseAND((1 << bits) - 1).cast("int")
 
 
-def prefix_sums(rows: DataFrame, part: list[str], buckets: list[str], order: list, value: Column, name: str) -> DataFrame:
-    """Exclusive running sum of ``value`` in each ``part``, in the order (buckets, order).
-
-    Two levels: sums by bucket, a running sum over the few bucket rows of a part, and a
-    running sum inside each bucket. No task holds more than a bucket, however large its part.
-    """
-    keys = [*part, *buckets]
-    valued = rows.withColumn("_v", value)
-    tops = valued.groupBy(*keys).agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy(*part).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*keys, F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_top"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = valued.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return within.join(tops, keys).withColumn(name, F.col("_top") + F.col("_in")).drop("_v", "_in", "_top")
-
-
 def in_chunks(items: str, length: str, step: str, spans: str, chunk: int = 256) -> str:
     """SQL of the array that ``step`` gathers over ``items`` from (at, spans), ``at`` being the lengths so far.
 
