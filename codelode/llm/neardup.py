@@ -10,8 +10,8 @@ are then compared with each other, so that no candidate link between components
 those outside the bucket's largest component against all, if they are ``CROWD`` at most. Larger
 crowds, such as pages of one template, which share buckets and never link, are split further by
 the rarest shingles of each member: two sets of similarity t share one of the n - ceil(t n) + 1
-rarest of either, whatever the counts are taken over, so that this is exact. The pairs left by
-the estimate are estimated again by longer signatures and confirmed.
+rarest of either, whatever the counts are taken over, so that this is exact. Pairs are
+estimated by longer signatures as well where they meet, and those left are confirmed.
 
 Odd cases: texts without words have empty sets and link with nothing; a text of any length is
 read whole; a null doc_id is never linked and is kept; rows that share a doc_id are linked by
@@ -39,8 +39,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 MARGIN = 0.19
 #: Signatures for the second comparison: 2048 minima of 2 bits, a deviation of 0.0115; 4.5 of them are allowed.
 FINE_HASHES, FINE_BITS, FINE_MARGIN = 2048, 2, 0.052
-#: Members of a bucket outside its largest component that are compared with all its members.
-CROWD = 48
+#: Members of a bucket outside its largest component that are compared with all its members: some microseconds a member and bucket.
+CROWD = 512
 
 
 def _functions(n: int, salt: int):
@@ -152,7 +152,7 @@ def across(keyed: DataFrame, key: str, nodes: DataFrame, near: Column) -> DataFr
     ``most`` is the key's largest component. Members of it stand on one side only, so that a
     large component costs each outsider one comparison a member and none among themselves.
     """
-    side = lambda df, x: df.select(key, "most", F.col("id").alias(x), F.col("comp").alias(f"c{x}")).join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
+    side = lambda df, x: df.select(key, "most", F.col("id").alias(x), F.col("comp").alias(f"c{x}")).join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("fine").alias(f"f{x}")), x)
     # an exchange between the parts: the join below deals both sides by the key alone, so that a hot one can be split
     left, right = side(keyed.where("comp <> most"), "a"), side(keyed, "b").drop("most")
     pairs = left.join(right, key).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & near)
@@ -232,21 +232,20 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: fl
     mixed = by_comp.groupBy(F.bitwise_not("band").alias("nb")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all"))
     mixed = mixed.where("k < all").select(F.bitwise_not("nb").alias("band"), "most", (F.col("all") - F.col("k") > CROWD).alias("crowded"))
     rest = materialize(in_comp.join(mixed, "band"), "dup-rest")
-    found = [across(rest.where("not crowded"), "band", nodes, near)]
+    keys = nodes.join(rest.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
+    # dealt by rows, not by bytes, which say little about the work on them
+    texts = texts_of(keys).repartition(parts_of(rows.sparkSession), "doc_id")
+    fine = materialize(map_arrow(texts, _fine, "id long, tkey long, sig array<long>"), "dup-fine")
+    rest_nodes = materialize(nodes.join(fine.withColumnRenamed("sig", "fine"), ["id", "tkey"]), "dup-fine")
+    near = near & (estimate("fa", "fb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN)
+    found = [across(rest.where("not crowded"), "band", rest_nodes, near)]
     crowd = materialize(rest.where("crowded").groupBy(F.bitwise_not("id").alias("ni")).agg(F.max("comp").alias("comp")).select(F.bitwise_not("ni").alias("id"), "comp"), "dup-crowd")
     if crowd.limit(1).count():
-        found.append(across(_rarest(crowd, nodes, texts_of, threshold), "shingle", nodes, near))
+        found.append(across(_rarest(crowd, nodes, texts_of, threshold), "shingle", rest_nodes, near))
     second = reduce(DataFrame.unionByName, found).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(second, "dup-second")
+    of = lambda x: nodes.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"))
+    second = materialize(materialize(second, "dup-second").join(of("a"), "a").join(of("b"), "b"), "dup-second")
     if second.limit(1).count():
-        ids = second.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        keys = nodes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "tkey")
-        # dealt by rows, not by bytes, which say little about the work on them
-        texts = texts_of(keys).repartition(parts_of(rows.sparkSession), "doc_id")
-        fine = materialize(map_arrow(texts, _fine, "id long, tkey long, sig array<long>"), "dup-fine")
-        of = lambda x: fine.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"), F.col("sig").alias(f"s{x}"))
-        likely = estimate("sa", "sb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN
-        second = materialize(second.join(of("a"), "a").join(of("b"), "b").where(likely).select("a", "b", "ka", "kb"), "dup-second")
         roots = components(links.unionByName(confirm(second)))
 
     classes = reps.join(roots, "id", "left").select(F.hex("digest").alias("dx"), F.coalesce("root", "id").alias("root"))
