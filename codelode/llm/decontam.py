@@ -151,8 +151,12 @@ def regions(p: Probes, chars: np.ndarray):
         probe, diagonal = p.probe[rows], np.repeat(at[part], n) - p.place[rows] + PROBE
         # bands of twice the width start at every multiple of it, so that each stretch lies in one whole
         lower = diagonal // (2 * p.budget[probe] + 2)
-        new = np.unique(np.concatenate((keys, probe * (1 << 40) + lower, probe * (1 << 40) + np.maximum(lower - 1, 0))), return_inverse=True)
-        keys, count = new[0], np.bincount(new[1], np.concatenate((count, np.ones(2 * len(rows)))), len(new[0])).astype(np.int64)
+        new, times = np.unique(np.concatenate((probe * (1 << 40) + lower, probe * (1 << 40) + np.maximum(lower - 1, 0))), return_counts=True)
+        if not len(keys):
+            keys, count = new, times
+        else:  # a text with more hits than a piece holds
+            both, of = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            keys, count = both, np.bincount(of, np.concatenate((count, times)), len(both)).astype(np.int64)
     which, band = keys >> 40, keys & ((1 << 40) - 1)
     good = count >= p.need[which]
     width = 2 * p.budget[which] + 2

@@ -833,6 +833,19 @@ def test_edits_at_the_bound(spark):
             assert i not in got or m > 56
 
 
+def test_hits_in_pieces(monkeypatch):
+    """Counts of shared grams are the same whatever the size of a piece."""
+    import random
+
+    rng = random.Random(2)
+    items = [(i, "".join(rng.choice("ab ") for _ in range(120))) for i in range(20)]
+    chars = decontam.folded(" ".join(t for _, t in items) + "".join(rng.choice("ab ") for _ in range(3000)), True)[0]
+    p = decontam.probes(items)
+    whole = decontam.regions(p, chars)
+    monkeypatch.setattr(decontam, "HITS", 50)
+    assert whole and sorted(decontam.regions(p, chars)) == sorted(whole)
+
+
 def test_short_items_are_searched_exactly(spark):
     bench = spark.createDataFrame([(1, "Kurz"), (2, "two  words!"), (3, "...")], "item_id long, text string")
     texts = ["ein kurz-er Satz", "kurzer", "KURZ", "of two Words.", "two or words", "", "kurz two words kurz"]
