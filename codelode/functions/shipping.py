@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +25,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.writestr(str(f.relative_to(root.parent)), f.read_bytes())
-    path = os.path.join(tempfile.mkdtemp(prefix="codelode-ship-"), "codelode.zip")
+    folder = tempfile.mkdtemp(prefix="codelode-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "codelode.zip")
     Path(path).write_bytes(data.getvalue())
     sc.addPyFile(path)

@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if base := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return base
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="codelode-"))
     return sc.getCheckpointDir()

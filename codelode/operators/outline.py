@@ -12,11 +12,12 @@ from codelode.functions.shipping import ship
 from codelode.operators.extract import STRIP, matchers
 
 # Names that are never members.
-NOT_FIELDS = frozenset("if else elif for while switch return break continue case default except finally try with match".split())
-NOT_NAMES = frozenset(
-    "if else for while switch return break continue case default throw new delete sizeof typeof goto class struct enum interface extends implements import using namespace package".split()
-)
-NOT_VARIANTS = frozenset("if else for while switch return break continue pub const var fn".split())
+NOT_FIELDS = frozenset(("if", "else", "elif", "for", "while", "switch", "return", "break", "continue", "case", "default", "except", "finally", "try", "with", "match"))
+NOT_NAMES = frozenset((
+    "if", "else", "for", "while", "switch", "return", "break", "continue", "case", "default", "throw", "new", "delete", "sizeof", "typeof", "goto", "class", "struct", "enum", "interface", "extends",
+    "implements", "import", "using", "namespace", "package",
+))
+NOT_VARIANTS = frozenset(("if", "else", "for", "while", "switch", "return", "break", "continue", "pub", "const", "var", "fn"))
 MEMBERS = {
     "zig": (r"^(?:pub )?(?:const |var )\W*(\w+)", False),
     "rust": (r"^let (?:mut )?\W*(\w+)", True),

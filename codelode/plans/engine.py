@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.hypervectors import WORDS, widest_distance
 from codelode.functions.tables import materialize, numbered
-from codelode.operators import changes, clusters, encode, extract, graph, outline, ranking, refresh
+from codelode.operators import changes, clusters, encode, extract, graph, outline, ranking, refresh, syntax
 from codelode.plans import render
 from codelode.sources import files as sources
 
@@ -40,8 +40,10 @@ class Engine:
     index: whatever changes the units drops what was derived from them.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, root: str = "."):
+    def __init__(self, spark: SparkSession, files: DataFrame, root: str = ".", backend: str = "lines"):
+        """``backend`` ``syntax`` takes the units of Python files from their syntax trees."""
         self.spark, self.root, self.version = spark, root, 0
+        self.extract = {"lines": extract.extract_units, "syntax": syntax.extract_units}[backend]
         self._index(files)
 
     @classmethod
@@ -53,17 +55,18 @@ class Engine:
     def of_units(cls, units: DataFrame, root: str = ".") -> Engine:
         """An engine over units that come from elsewhere; ``ast`` and ``refresh`` have no files to look at."""
         e = cls.__new__(cls)
-        e.spark, e.root, e.version, e.files = units.sparkSession, root, 0, None
+        e.spark, e.root, e.version, e.files, e.extract = units.sparkSession, root, 0, None, None
         e._set_units(units)
         return e
 
     def _index(self, files: DataFrame) -> None:
         self.files = materialize(files, "engine-files")
-        self._set_units(extract.extract_units(self.files))
+        self._set_units(self.extract(self.files))
 
     def _set_units(self, units: DataFrame) -> None:
         # ids follow path and line
-        self.units = materialize(numbered(units, ["file_path", "line_number"], "unit_id"), "engine-units")
+        # and, where a line has several, name
+        self.units = materialize(numbered(units, ["file_path", "line_number", "kind", "name"], "unit_id"), "engine-units")
         self._vectors = self._refs = self._postings = None
         self.version += 1
 
@@ -118,7 +121,7 @@ class Engine:
         now = materialize(sources.scan_tree(self.spark, self.root) if files is None else files, "engine-files")
         touched, gone = refresh.changed_files(now, self.files), refresh.deleted_files(now, self.files)
         old = self.units.drop("unit_id")
-        fresh = extract.extract_units(touched).select(*old.columns)
+        fresh = self.extract(touched).select(*old.columns)
         self._set_units(refresh.replace_by_file(old, fresh, touched, gone))
         self.files = now
         return self.status()

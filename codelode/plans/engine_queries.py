@@ -196,6 +196,25 @@ def _by_language(lang: str):
 for _lang in sorted({f[1] for f in FILES}):
     _by_language(_lang)
 
+PYTHON = [
+    ("a.py", "python", "import os.path as p, sys\nfrom . import x\nfrom ..pkg.mod import y\n@wrap\nclass A:\n    import inner\n    def method(self):\n        pass\nif p:\n    def late(): pass\n@one\n@two(3)\nasync def go(): pass\ntry:\n    import z; import w\nexcept E:\n    pass\n"),
+    ("broken.py", "python", "def ok():\n    pass\ndef bad(:\n"),
+    ("c.go", "go", "func main() {\n}\n"),
+]
+#: By hand: what stands inside of classes and functions is left out, a file that doesn't parse goes by its lines.
+PYTHON_UNITS = [
+    ("a.py", 1, "import", "os.path", "import os.path as p, sys"), ("a.py", 2, "import", ".", "from . import x"), ("a.py", 3, "import", "..pkg.mod", "from ..pkg.mod import y"), ("a.py", 5, "type", "A", "class A:"),
+    ("a.py", 10, "fn", "late", "def late(): pass"), ("a.py", 13, "fn", "go", "async def go(): pass"), ("a.py", 15, "import", "z", "import z; import w"), ("a.py", 15, "import", "w", "import w"),
+    ("broken.py", 1, "fn", "ok", "def ok():"), ("broken.py", 3, "fn", "bad", "def bad(:"), ("c.go", 1, "fn", "main", "func main() {"),
+]
+
+
+@query(f"select file_path, line_number, kind, name, signature from {sql_values(['file_path', 'line_number', 'kind', 'name', 'signature'], PYTHON_UNITS)}")
+def units_syntax(spark, sf_dir):
+    """Units of Python files by their syntax trees."""
+    return Engine(spark, files(spark, PYTHON), backend="syntax").units.select("file_path", "line_number", "kind", "name", "signature")
+
+
 LONG_TOKENS = [("a" * 300,), ("B" * 600,), ("x" * 255 + "é",), ("short",), ("é" * 300,)]
 
 
