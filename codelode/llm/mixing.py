@@ -6,16 +6,17 @@ the n-th word of a source is wanted when the integral reaches n / target. Docume
 hash order within a source; exact running sums (see ``prefix_sums``) give each its offset.
 
 Odd cases: a null text has size 0; a null source is a source of its own, last in order; rows
-that share a doc_id are rows of their own; documents of size 0 are taken 0 times; an empty
-table gives no rows; extra columns are ignored.
+that share a doc_id are rows of their own, repeated rows too; documents of size 0 are taken 0
+times; words of texts of any length are counted whole; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from codelode.functions.tables import numbered
 from codelode.llm.common import WORD, materialize, nonneg_bits, prefix_sums, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,20 +25,25 @@ SLOPES = (-0.5, 0.0, 0.5)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3) -> DataFrame:
-    """(source, source_size, weight, slope, target): min(cap, level * weight) at the level that uses all words."""
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), ((F.col("rank") - 1) % len(xs) + 1).cast("int"))
+    """(source, source_size, weight, slope, target): min(cap, level * weight) at the level that uses all words.
+
+    Sources may be many (hosts, say): they are numbered and summed by range, none in one task.
+    """
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("rank") % len(xs) + 1).cast("int"))
     sources = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
-    ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    ranked = numbered(sources.withColumn("_last", F.col("source").isNull()), ["_last", "source"], "rank").drop("_last")
     ranked = ranked.withColumn("weight", pick(weights)).withColumn("slope", pick(slopes)).withColumn("cap", F.col("source_size") * float(max_repeat))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(
-        by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    )
-    found = ranked.withColumn("step", F.row_number().over(by_ratio)).withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct("step", "level"))
-    chosen = F.min(fits).over(whole)["level"]
-    return found.withColumn("target", F.least("cap", F.coalesce(chosen * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "slope", "target")
+    stepped = numbered(ranked.withColumn("ratio", F.col("cap") / F.col("weight")), ["ratio", "rank"], "step")
+    # all words, less the caps of the sources that are filled before, over the weights of this one and the rest
+    part = stepped.withColumn("_b", F.expr("step div 4096"))
+    caps = prefix_sums(part.select("step", "_b", "ratio", "cap", "weight"), [], ["_b"], ["step"], F.col("cap"), "filled")
+    found = prefix_sums(caps, [], ["_b"], ["step"], F.col("weight"), "passed")
+    totals = stepped.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    level = (F.col("all_size") - F.col("filled")) / (F.col("all_weight") - F.col("passed"))
+    fits = found.crossJoin(F.broadcast(totals)).withColumn("level", level).where("level <= ratio")
+    chosen = fits.agg(F.min(F.struct("step", "level"))["level"].alias("level"))
+    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    return stepped.crossJoin(F.broadcast(chosen)).select("source", "source_size", "weight", "slope", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_repeat: int = 3, bucket_bits: int = 12, keep_key: bool = False) -> DataFrame:
