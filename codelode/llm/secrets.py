@@ -39,11 +39,13 @@ def spans_of(kind: str) -> Column:
     """All spans of one kind in column ``t``, as code points: gaps and matches, laid end to end."""
     test, pattern, group, least = PATTERNS[kind]
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    items = f"arrays_zip(split(t, '{quoted}', -1), regexp_extract_all(t, '{quoted}', 0), regexp_extract_all(t, '{quoted}', {group}))"
+    items = f"arrays_zip(split(t, '{quoted}', -1), regexp_extract_all(t, '{quoted}', 0))"
+    # the pattern looks at nothing around a match, so that the match alone gives its group
+    value = f"regexp_extract(x.`1`, '{quoted}', {group})" if group else "x.`1`"
     step = (
         "(a, x) -> named_struct('at', a.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'spans',"
-        f" if(length(x.`2`) >= {least}, concat(a.spans, array(named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`),"
-        f" 'kind', {KINDS.index(kind)}, 'value', md5(x.`2`)))), a.spans))"
+        f" if(length({value}) >= {least}, concat(a.spans, array(named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`),"
+        f" 'kind', {KINDS.index(kind)}, 'value', md5({value})))), a.spans))"
     )
     walk = F.expr(in_chunks(items, "coalesce(length(x.`0`), 0) + coalesce(length(x.`1`), 0)", step, SPAN))
     return F.when(F.col("t").rlike(test), walk).otherwise(F.array().cast(SPAN))
