@@ -146,16 +146,23 @@ def _shingles(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], ["id", "shingle"])
 
 
-def across(keyed: DataFrame, key: str, nodes: DataFrame, near: Column) -> DataFrame:
+#: A pair that shares several bands is made in the first of them only.
+ONCE_BAND = "element_at(filter(zip_with(ma, mb, (x, y) -> if(x = y, x, null)), z -> z is not null), 1) = band"
+#: One that shares several rare shingles, in the first if that is among the first ``HEAD`` of both.
+ONCE_SHINGLE, HEAD = "coalesce(try_element_at(array_intersect(ma, mb), 1), shingle) = shingle", 16
+
+
+def across(keyed: DataFrame, key: str, nodes: DataFrame, near: Column, once: str) -> DataFrame:
     """(a, b) of the members (key, id, comp, most) of each key that are in different components, and ``near`` by their ``nodes``.
 
     ``most`` is the key's largest component. Members of it stand on one side only, so that a
     large component costs each outsider one comparison a member and none among themselves.
+    ``once`` tells by their ``mark`` under which of its keys a pair is made.
     """
-    side = lambda df, x: df.select(key, "most", F.col("id").alias(x), F.col("comp").alias(f"c{x}")).join(nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("fine").alias(f"f{x}")), x)
+    side = lambda df, x: df.select(key, "most", F.col("id").alias(x), F.col("comp").alias(f"c{x}")).join(nodes.select(F.col("id").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("n", "sig", "fine", "mark"))), x)
     # an exchange between the parts: the join below deals both sides by the key alone, so that a hot one can be split
     left, right = side(keyed.where("comp <> most"), "a"), side(keyed, "b").drop("most")
-    pairs = left.join(right, key).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & near)
+    pairs = left.join(right, key).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & near & F.expr(once))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -166,8 +173,8 @@ def estimate(a: str, b: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     return F.expr(f"(({hashes} - ({differ})) / {hashes}D - {2.0**-bits}D) / {1 - 2.0**-bits}D")
 
 
-def _rarest(crowd: DataFrame, nodes: DataFrame, texts_of, threshold: float) -> DataFrame:
-    """(shingle, id, comp, most) of the rarest shingles of each member of ``crowd`` that others have too.
+def _rarest(crowd: DataFrame, nodes: DataFrame, texts_of, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(shingle, id, comp, most) of the rarest shingles of each member of ``crowd`` that others have too, and (id, mark) with the first of them.
 
     The order is by the number of members that have a shingle, then by the shingle. Shingles of
     one member only come first and are left out: they leave less room for others.
@@ -180,11 +187,11 @@ def _rarest(crowd: DataFrame, nodes: DataFrame, texts_of, threshold: float) -> D
     # places for shared ones: n - ceil(t n) + 1, less the shingles of this member alone
     percent = round(threshold * 100)
     room = F.expr(f"cast(n - (({percent} * n + 99) div 100) + 1 - (n - size(s)) as int)")
-    kept = own.where(room > 0).select("id", F.explode(F.slice("s", 1, room)).alias("x")).select("id", "x.shingle").join(crowd, "id")
-    kept = materialize(kept, "dup-rarest")
+    own = materialize(own.where(room > 0).select("id", F.transform(F.slice("s", 1, room), lambda x: x["shingle"]).alias("s")), "dup-rarest")
+    kept = materialize(own.select("id", F.explode("s").alias("shingle")).join(crowd, "id"), "dup-rarest")
     by_comp = kept.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = by_comp.groupBy(F.bitwise_not("shingle").alias("ns")).agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.max("k").alias("k"), F.sum("k").alias("all")).where("k < all")
-    return kept.join(mixed.select(F.bitwise_not("ns").alias("shingle"), "most"), "shingle")
+    return kept.join(mixed.select(F.bitwise_not("ns").alias("shingle"), "most"), "shingle"), own.select("id", F.slice("s", 1, HEAD).alias("mark"))
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: float = 0.75) -> DataFrame:
@@ -238,10 +245,11 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: fl
     fine = materialize(map_arrow(texts, _fine, "id long, tkey long, sig array<long>"), "dup-fine")
     rest_nodes = materialize(nodes.join(fine.withColumnRenamed("sig", "fine"), ["id", "tkey"]), "dup-fine")
     near = near & (estimate("fa", "fb", FINE_HASHES, FINE_BITS) >= threshold - FINE_MARGIN)
-    found = [across(rest.where("not crowded"), "band", rest_nodes, near)]
+    found = [across(rest.where("not crowded"), "band", rest_nodes.join(reps.select("id", F.col("bands").alias("mark")), "id"), near, ONCE_BAND)]
     crowd = materialize(rest.where("crowded").groupBy(F.bitwise_not("id").alias("ni")).agg(F.max("comp").alias("comp")).select(F.bitwise_not("ni").alias("id"), "comp"), "dup-crowd")
     if crowd.limit(1).count():
-        found.append(across(_rarest(crowd, nodes, texts_of, threshold), "shingle", rest_nodes, near))
+        rare, heads = _rarest(crowd, nodes, texts_of, threshold)
+        found.append(across(rare, "shingle", rest_nodes.join(heads, "id"), near, ONCE_SHINGLE))
     second = reduce(DataFrame.unionByName, found).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     of = lambda x: nodes.select(F.col("id").alias(x), F.col("tkey").alias(f"k{x}"))
     second = materialize(materialize(second, "dup-second").join(of("a"), "a").join(of("b"), "b"), "dup-second")

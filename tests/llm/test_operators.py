@@ -127,7 +127,7 @@ def test_rarest_shingles_join_every_link(spark):
     sets = [shingles(t) for t in texts]
     df = spark.createDataFrame([(i, t, i, len(s)) for i, (t, s) in enumerate(zip(texts, sets, strict=True))], "id long, text string, comp long, n long").withColumn("tkey", F.xxhash64("text"))
     by = {}
-    for r in neardup._rarest(df.select("id", "comp"), df, lambda keys: df.select(F.col("id").alias("doc_id"), "tkey", "text"), 0.75).collect():
+    for r in neardup._rarest(df.select("id", "comp"), df, lambda keys: df.select(F.col("id").alias("doc_id"), "tkey", "text"), 0.75)[0].collect():
         by.setdefault(r["shingle"], set()).add(r["id"])
     joined = {p for ids in by.values() for p in itertools.combinations(sorted(ids), 2)}
     links = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
