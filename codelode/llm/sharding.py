@@ -3,7 +3,8 @@
 Documents of equal text are linked, through their group and never pair by pair. They start in
 hashed shards. In each round a document proposes the shard where most of its group sits, among
 those with room, if more of the group is there than where it stands; proposals are admitted in
-group order up to each shard's quota, round after round until none is made. A last pass makes the counts even: what stands beyond a
+group order up to each shard's quota, round after round until none is made; a round works on the
+groups that several shards have, and on no others. A last pass makes the counts even: what stands beyond a
 shard's quota, documents without a group first, fills the shards below theirs.
 
 Running sums go by buckets of some hundred rows to a few thousand: documents by the hash of their
@@ -17,6 +18,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +29,8 @@ from codelode.llm.common import materialize, nonneg_bits, prefix_sums
 
 #: Rows of a bucket, of groups and within a group.
 BUCKET, OWN_BUCKET = 8192, 256
+#: Tables of groups set aside that are written as one.
+ASIDE = 16
 
 
 def _of(values: list[int], at: str) -> Column:
@@ -42,14 +47,15 @@ def propagate(nodes: DataFrame, shards: int, max_rounds: int = 500, slack: float
     """``nodes`` (group ``g``, buckets ``b1``, ``b2``, ...) with column ``label`` after quota-bound rounds.
 
     Each round reads the loads of the shards (one row each) on the driver and writes the
-    labels to the shared folder. The seats that admitted documents leave are given out in the
+    labels to the shared folder, of the groups in several shards only: a group that has come
+    together proposes nothing any more and is set aside. The seats that admitted documents leave are given out in the
     same round, ``credits`` times over. The loop ends when no document proposes: whoever moves
     goes where at least as many of its group sit, so that the sum of squared seats of each group
     grows with every move and the end comes.
     """
-    here = nodes
+    here, aside, fixed = nodes, [], [0] * shards
     for _ in range(max_rounds):
-        load = _loads(here, shards)
+        load = [n + x for n, x in zip(fixed, _loads(here, shards), strict=True)]
         cap = -int(-sum(load) * (1 + slack) // shards)
         room = _of([max(0, cap - n) for n in load], "label")
         seats = here.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -57,16 +63,23 @@ def propagate(nodes: DataFrame, shards: int, max_rounds: int = 500, slack: float
         # among labels with as many seats a hash of group and label decides, so that groups spread and no two members swap
         seats = seats.withColumn("turn", F.xxhash64("g", "label"))
         best = F.max(F.when(room > 0, F.struct("n", "turn", "label"))).over(of_group)
-        votes = seats.withColumn("best", best).withColumn("labels", F.count(F.lit(1)).over(of_group))
+        votes = seats.withColumn("best", best).withColumn("labels", F.count(F.lit(1)).over(of_group)).where("labels > 1")
         gain = (F.col("best")["n"] > F.col("n")) | ((F.col("best")["n"] == F.col("n")) & ((F.col("best")["turn"] > F.col("turn")) | (room == 0)))
-        votes = votes.where((F.col("labels") > 1) & gain & (F.col("best")["label"] != F.col("label")))
-        votes = votes.select(F.hex("g").alias("gx"), "label", F.col("best")["label"].alias("want"))
+        want = F.when(gain & (F.col("best")["label"] != F.col("label")), F.col("best")["label"])
+        votes = materialize(votes.select(F.hex("g").alias("gx"), "label", want.alias("want"), F.lit(True).alias("apart")), "shard-votes")
+        if not votes.where("want is not null").limit(1).count():
+            return reduce(DataFrame.unionByName, aside, here)
         # joined by another key than grouped by, so that a hot group can be split
         asked = here.withColumn("gx", F.hex("g")).join(votes, ["gx", "label"], "left").drop("gx")
         asked = materialize(asked, "shard-asked")
-        if not asked.where("want is not null").limit(1).count():
-            return here
-        moving = materialize(prefix_sums(asked.where("want is not null"), ["want"], ["b1", "b2"], ["g", "doc_id"], F.lit(1), "queue"), "shard-queue")
+        whole = asked.where("apart is null").select(*nodes.columns)
+        settled = _loads(whole, shards)
+        if any(settled):
+            fixed = [n + x for n, x in zip(fixed, settled, strict=True)]
+            aside.append(whole)
+            if len(aside) == ASIDE:
+                aside = [materialize(reduce(DataFrame.unionByName, aside), "shard-aside")]
+        moving = materialize(prefix_sums(asked.where("want is not null").drop("apart"), ["want"], ["b1", "b2"], ["g", "doc_id"], F.lit(1), "queue"), "shard-queue")
         gone = [0] * shards
         for _ in range(credits):
             more = _loads(moving.where(F.col("queue") < _of([max(0, cap - n + x) for n, x in zip(load, gone, strict=True)], "want")), shards)
@@ -75,7 +88,8 @@ def propagate(nodes: DataFrame, shards: int, max_rounds: int = 500, slack: float
             gone = more
         quota = _of([max(0, cap - n + x) for n, x in zip(load, gone, strict=True)], "want")
         moved = moving.withColumn("label", F.when(F.col("queue") < quota, F.col("want")).otherwise(F.col("label")))
-        here = materialize(asked.where("want is null").drop("want").unionByName(moved.select(*nodes.columns)), "shard-labels")
+        stay = asked.where("apart and want is null").select(*nodes.columns)
+        here = materialize(stay.unionByName(moved.select(*nodes.columns)), "shard-labels")
     raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
 
 

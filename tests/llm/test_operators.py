@@ -559,6 +559,25 @@ def test_sharding_deals_a_hot_group_over_buckets(spark):
     assert max(counts.values()) - min(counts.values()) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == 6000
 
 
+def test_sharding_rounds_work_on_groups_in_question(spark, monkeypatch):
+    """After the first round, rows of groups that stand in one shard aren't joined and written again, and none is lost."""
+    df = spark.createDataFrame([(i, "hot" if i < 300 else f"t{i // 2}" if i < 400 else f"alone{i}") for i in range(2400)], "doc_id long, text string")
+    nodes = df.selectExpr("doc_id", "unhex(md5(text)) g", "xxhash64(doc_id) h", "cast(pmod(xxhash64(doc_id), 24) as int) label")
+    nodes, write, joined = sharding.materialize(sharding.bucketed(nodes), "test"), sharding.materialize, []
+
+    def counting(rows, label):
+        out = write(rows, label)
+        if label == "shard-asked":
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(sharding, "materialize", counting)
+    monkeypatch.setattr(sharding, "ASIDE", 2, raising=False)
+    got = [r["doc_id"] for r in sharding.propagate(nodes, 24).collect()]
+    assert sorted(got) == list(range(2400))
+    assert len(joined) > 3 and joined[0] == 2400 and max(joined[1:]) <= 400
+
+
 def test_sharding_keeps_groups(spark):
     df = spark.createDataFrame([(i, f"t{i // 4}" if i < 400 else f"alone{i}") for i in range(2400)], "doc_id long, text string").coalesce(2)
     shards = {}
