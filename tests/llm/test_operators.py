@@ -305,6 +305,35 @@ def test_unlearnt_languages_go(spark, docs):
     assert langid.in_known_language(mixed.limit(0)).count() == 0
 
 
+def test_known_languages_are_learnt_from_all_rows(spark):
+    """Texts in letters of their own that no sample of 600 rows by id holds are learnt and stay."""
+    import random
+
+    rng = random.Random(8)
+    text = lambda at: " ".join("".join(chr(at + rng.randrange(6)) for _ in range(4)) for _ in range(30))
+    late = [i for i in range(50_000, 60_000) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(f"langid:{i}".encode()) >= 0.95 * 2**32][:40]
+    greek = " ".join(text(0x03B1) for _ in range(2))
+    df = spark.createDataFrame([(i, text(97), "xx") for i in range(2400)] + [(i, greek, "xx") for i in late], "doc_id long, text string, lang string")
+    assert len(late) == 40 and langid.in_known_language(df).count() == 2440
+
+
+def test_counts_of_grams_in_parts(monkeypatch):
+    """Counts given out in parts add up, a text in several blocks too."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "HELD", 50, raising=False)
+    rows = [("a", "abc abd " * 9), ("b", "x"), ("a", ""), ("b", "abc bcd " * 12_000)]
+    got, want = collections.Counter(), collections.Counter()
+    parts = list(langid._counted([pa.RecordBatch.from_pylist([{"lang": k, "text": t} for k, t in rows])]))
+    for p in parts:
+        for r in p.to_pylist():
+            got[r["lang"], r["gram"]] += r["n"]
+    for k, t in rows:
+        want.update((k, g) for g in np.concatenate(list(langid._grams(t))).view(np.int64).tolist())
+    assert got == want and len(parts) > 3
+
+
 def plain_grams(text):
     """Every run of 3 and 4 characters of the folded text between spaces, as code points."""
     out, before = [], True
