@@ -203,9 +203,10 @@ def repeated_passages(docs: DataFrame, doc_id="doc_id", text="text", min_words:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     places = materialize(map_arrow(rows, _places(min_words), "doc_id long, run long, at long"), "passage-places")
     shared = places.groupBy(F.bitwise_not("run").alias("nr")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    kept = places.join(shared.select(F.bitwise_not("nr").alias("run")), "run", "left_semi")
+    # every join here is of tables that grow with the texts, and Spark sizes what is read of a written table by the widths of types: never by broadcast
+    kept = places.join(shared.select(F.bitwise_not("nr").alias("run")).hint("merge"), "run", "left_semi")
     wanted = kept.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    context = map_arrow(rows.join(wanted, "doc_id"), _contexts(min_words), "doc_id long, at long, right binary, left binary")
+    context = map_arrow(rows.join(wanted.hint("merge"), "doc_id"), _contexts(min_words), "doc_id long, at long, right binary, left binary")
     context = materialize(context, "passage-suffixes")
     ordered = context.repartitionByRange(parts_of(docs.sparkSession), *ORDER).sortWithinPartitions(*ORDER)
     found = materialize(map_arrow(ordered, _compare(min_words, True, True), FOUND), "passage-matches")
@@ -221,7 +222,7 @@ def repeated_passages(docs: DataFrame, doc_id="doc_id", text="text", min_words:
     # exactly, what lies further off than the neighbours looked at: equal stretches of min_words words of several documents
     owners = found.where("lo is not null").groupBy(F.bitwise_not("window").alias("nw")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     asked = found.where("window is not null and lo is null").select("doc_id", "s", "window")
-    further = asked.join(owners.select(F.bitwise_not("nw").alias("window")), "window").select("doc_id", "s", (F.col("s") + min_words).alias("e"))
+    further = asked.join(owners.select(F.bitwise_not("nw").alias("window")).hint("merge"), "window").select("doc_id", "s", (F.col("s") + min_words).alias("e"))
     spans = spans.unionByName(across.select("doc_id", "s", "e")).unionByName(further)
     by_start = Window.partitionBy("doc_id").orderBy("s", "e")
     reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -241,6 +241,22 @@ def test_passages_across_many_partitions(spark, monkeypatch):
     assert got == {(i, 2, 62) for i in range(300)} | {(300 + i, 0, 55) for i in range(200)}
 
 
+def test_passages_are_never_broadcast(spark, monkeypatch):
+    """Its tables grow with the texts, so that no join is left to Spark's estimate of their size."""
+    phrase = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"a{i}_{k}" for k in range(40)) + f" b{i // 2} {phrase} " + " ".join(f"c{i // 2}_{k}" for k in range(20)) for i in range(60)]
+    seen, write = [], passages.materialize
+    monkeypatch.setattr(passages, "materialize", lambda df, label: seen.append(df) or write(df, label))
+    found = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans = []
+    for df in [*seen, found]:
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows} == {(i, 40, 101) for i in range(60)}
+    assert [x for x in plans if "Broadcast" in x] == []
+    assert sum("SortMergeJoin" in x for x in plans) == 2
+
+
 def test_passage_inside_other_text(spark):
     shared = " ".join(f"s{i}" for i in range(70))
     texts = [" ".join(f"{c}{i}" for i in range(90)) + " " + shared + " " + " ".join(f"{c}y{i}" for i in range(40)) for c in "abcde"] + [" ".join(f"z{i}" for i in range(300))]
